@@ -66,3 +66,19 @@ def text_slices(batches, limit: int = SLICE_BYTES, column: int = 1):
         for lo, hi in spans(sizes, limit):
             part = batch.slice(lo, hi - lo)
             yield part, [x.decode("utf-8", "replace") if x else "" for x in data.slice(lo, hi - lo).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, label of about limit labelled documents, chosen by a hash of the id among the rows that learn allows.
+
+    Ids labelled both 0 and 1 are left out. At most about limit label rows, of two numbers each, are broadcast.
+    """
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    marks = marks.filter(F.col("label").isin(0, 1) & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_max"))
+    marks = marks.filter("label = _max").drop("_max")
+    n = marks.count()
+    grain = 1 << 30
+    bound = grain if n <= limit else grain * limit // n
+    chosen = lambda c: F.pmod(F.xxhash64(c, F.lit("labelled")), F.lit(grain)) < bound
+    rows = id_text(docs, id_col, text_col).filter(chosen(F.col("doc_id")))
+    return rows.join(F.broadcast(marks.filter(chosen(F.col("doc_id")))), "doc_id")
