@@ -82,3 +82,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, l
     chosen = lambda c: F.pmod(F.xxhash64(c, F.lit("labelled")), F.lit(grain)) < bound
     rows = id_text(docs, id_col, text_col).filter(chosen(F.col("doc_id")))
     return rows.join(F.broadcast(marks.filter(chosen(F.col("doc_id")))), "doc_id")
+
+
+def filter_texts(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text keep takes: keep turns a list of texts into a sequence of booleans."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for part, texts in text_slices(batches, column=at):
+            yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from simloom.llm import language, lines, media, quality, tokens, topk, toxicity
+from simloom.llm import language, lines, media, neardup, quality, tokens, topk, toxicity
 from simloom.llm.common import held_out, table
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op7_bpe_codec(spark, sf_dir):
     return tokens.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE))
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE))
 
@@ -57,7 +61,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_topk, op2_toxicity, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_quality_classifier,
-        op7_bpe_codec, op9_token_counts, op10_media_columns,
+        op7_bpe_codec, op8_ngram_jaccard_join, op9_token_counts, op10_media_columns,
     )
 }
 ORACLES = {"op1_exact_topk": topk.TOP_K_SQL, "op3_line_dedup": lines.LINE_DEDUP_SQL}
