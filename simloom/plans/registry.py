@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from simloom.plans import kv_queries, vector_queries
+
+QUERIES, ORACLES = vector_queries.QUERIES, vector_queries.ORACLES
+assert kv_queries  # its queries are registered on import
 
 
 def flagship(spark, sf_dir):
+    """Bucket candidates, exact verification and the ten most similar of each vector."""
     return QUERIES["lsh_topk_similarity"](spark, sf_dir)
