@@ -14,8 +14,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def line_key(line):
-    """The line without blanks at its ends and with A-Z lowered."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
+    """The line without blanks at its ends and with A-Z lowered; lines of ASCII alone take the quicker lower()."""
+    bare = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CODE_POINTS) -> DataFrame:
@@ -32,6 +33,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least)
     rows = keyed.select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_hash", "pos")
+    rows = common.cut(rows)  # the sampling for ranges reads them a second time
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, "hash", "doc_id", "pos").withColumn("part", F.spark_partition_id())
     dealt = common.cut(ranged)
@@ -55,11 +57,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
     drops = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n"), F.col("drops").alias("_drops"))
     joined = marked.join(drops.hint("shuffle_hash"), ["_id", "_hash"], "left")
-    lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = F.split(text, "\n", -1)
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     dense = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(lines) - 1, 6)), lambda w: F.coalesce(F.try_element_at("_drops", w), F.lit(0).cast("long")))
-    joined = joined.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_bits", F.when(F.col("_n").isNotNull(), dense))
+    joined = joined.withColumn("_n_lines", n_lines.cast("long")).withColumn("_bits", F.when(F.col("_n").isNotNull(), dense))
     stays = lambda line, p: F.call_function("shiftright", F.get("_bits", F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(1) == 0
-    kept = F.when(F.col("_n").isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    kept = F.when(F.col("_n").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     return joined.withColumns({"_n_dropped": F.coalesce("_n", F.lit(0)).cast("long"), "_kept": kept}).drop("_id", "_hash", "_n", "_drops", "_bits")
 
 
