@@ -31,8 +31,6 @@ WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}
 _L1, _N1, _S1 = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 LATIN_BYTE_PATTERN = rf" ?[{_L1}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N1}]+| ?[^{_S1}{_L1}{_N1}]+|[{_S1}]+(?![^{_S1}])|[{_S1}]+"
 LATIN_WORD_PATTERN = rf"[{_L1}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N1}]|[^{_S1}{_L1}{_N1}]+"
-#: Pairs of letters of Unicode 16 that the library lowers and Python's tables may lack.
-NEW_LOWER = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {0x10D50 + k: 0x10D70 + k for k in range(22)}
 
 
 def byte_chars() -> list[str]:
@@ -171,6 +169,14 @@ class Merger:
         return [x for x in sym if x >= 0]
 
 
+@functools.lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Any code point that this Python's tables don't know; the library's may be of a later date."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)]
+    edges = [c for c in range(0x110000) if not known[c] and (c == 0 or known[c - 1])], [c for c in range(0x110000) if not known[c] and (c == 0x10FFFF or known[c + 1])]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(*edges, strict=True)) + "]")
+
+
 class _Index(dict):
     def __init__(self):
         self.fresh = []
@@ -185,6 +191,7 @@ class Tokenizer:
     """Token ids of whole texts as the library gives them for a byte-level BPE file, without added special tokens."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -217,15 +224,28 @@ class Tokenizer:
 
     def normal(self, text: str) -> str:
         """NFC and lower case, character by character, as the file of lower-case words asks for."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(NEW_LOWER).lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def split(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")  # such a text is in NFC already
         except UnicodeEncodeError:
-            return self.pattern.findall(self.normal(text) if self.lower else text)
+            if not self.lower:
+                return self.pattern.findall(text)
+            return self.split_by_library(text) if unassigned().search(text) else self.pattern.findall(self.normal(text))
         return self.latin.findall(text.lower() if self.lower else text)
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.path)
+
+    def split_by_library(self, text: str) -> list[str]:
+        """Pre-tokens of a text with letters too new for this Python, by the library's own tables."""
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.to_byte[c] for c in piece).decode("utf-8") for piece, _ in found]
+
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text; strings of special tokens stand alone."""
         if "<|" not in text:
