@@ -21,7 +21,7 @@ WIDEST = 256
 #: Symbols in a matrix of trees at most.
 CELLS = 1 << 19
 #: Pre-tokens that a table keeps before it starts anew; this bounds memory and has no effect on results.
-TABLE_CAP = 500_000
+TABLE_CAP = 300_000
 
 _WS = r"\p{White_Space}"
 #: The split patterns of the two tokenizers, with the White_Space property written out.

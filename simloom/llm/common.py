@@ -12,15 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds decoded at once; a single longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of one Arrow batch; Spark's own defaults would hold ten thousand long texts at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, unless it has a bound of its own."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names, so that no other column can clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -86,6 +97,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, l
 
 def filter_texts(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text keep takes: keep turns a list of texts into a sequence of booleans."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

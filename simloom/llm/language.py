@@ -80,7 +80,8 @@ class CrossParser:
 
     A phrase is the longest match of what follows in the sample, or one unknown letter. The automata of all languages stand
     in one table: state and letter give the next state; where no match goes on, they give the state of a new phrase that
-    begins with the letter, marked by the sign.
+    begins with the letter, marked by the sign. After an unknown letter comes a state that no letter goes on from. The first
+    state, where no phrase is open, is left for good by the first letter.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -95,14 +96,15 @@ class CrossParser:
             rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
             letters = np.array([c for s in steps for c in s], np.int64)
             targets = np.array([t for s in steps for t in s.values()], np.int64)
-            root = np.full(self.width, base, np.int64)
+            root = np.full(self.width, base + len(steps), np.int64)
             root[letters[rows == 0]] = targets[rows == 0] + base
-            table = np.broadcast_to(-1 - root, (len(steps), self.width)).copy()
+            table = np.broadcast_to(-1 - root, (len(steps) + 1, self.width)).copy()
             table[rows, letters] = targets + base
+            table[0] = root
             tables.append(table.astype(np.int32))
             self.roots.append(base)
             self.cost.append(np.log2(max(2, len(text))))
-            base += len(steps)
+            base += len(steps) + 1
         self.table = np.concatenate(tables).ravel()
         self.cost = np.array(self.cost)
 
@@ -141,8 +143,8 @@ class CrossParser:
         """(language, score) of each text.
 
         The cost of a language is its phrases times log2 of its sample's length, a letter; the lowest wins, ties to the first
-        by name. The score is the winner's margin over the mean of the others (or what its phrases save over one a letter, where
-        there are no others) times the share of letters that it knows.
+        by name. The score is the share of letters that the samples know, times a half for any winner and up to a half more for
+        its margin over the mean of the others (without others, over one phrase a letter).
         """
         codes, sizes = fold(texts)
         some = np.zeros(len(texts), bool)
@@ -154,7 +156,7 @@ class CrossParser:
         low = cost.min(0)
         others = (cost.sum(0) - low) / max(1, len(self.langs) - 1) if len(self.langs) > 1 else np.broadcast_to(self.cost.max(), low.shape)
         known = np.bincount(owner, self.symbols(codes) > 0, minlength=len(texts)) / n
-        score = np.clip(known * (0.5 + 0.5 * (1 - low / np.maximum(others, 1e-9))) , 0, 1)
+        score = np.clip(known * (0.5 + 0.5 * (1 - low / np.maximum(others, 1e-9))), 0, 1)
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0)
 
 

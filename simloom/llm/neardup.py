@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id
     bands, rows = choose_bands(threshold)
 
     def run(batches):
-        for part, texts in common.text_slices(batches, 1 << 20):
+        for part, texts in common.text_slices(batches):
             sets = gram_sets(texts, n)
             hashes = [band_hashes(g, bands, rows) if len(g) else np.zeros(0, np.int64) for g in sets]
             columns = [
@@ -207,7 +207,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     rows = text.join(members.hint("shuffle_hash"), "node").select("component", "node", "copies", "blocks", "block", "digest", "text")
 
     def shingle(batches):
-        for part, texts in common.text_slices(batches, 1 << 20, 6):
+        for part, texts in common.text_slices(batches, column=6):
             sets = gram_sets(texts, n)
             same = [class_digest(g, t) == d for g, t, d in zip(sets, texts, part.column(5).to_pylist(), strict=True)]
             columns = [*part.columns[:5], pa.array([g.tobytes() for g in sets], pa.binary())]

@@ -63,18 +63,22 @@ def symbol(ch: str) -> int:
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
-    """Counts of symbol trigrams within each text, runs of breaks taken as one, two breaks before it and one after."""
+    """Counts of symbol trigrams within each text, runs of breaks taken as one, with two breaks before it and one after."""
     table = symbol_table()
     total = np.zeros(SYMBOLS**3, np.int64)
-    for lo in range(0, len(texts), 256):
-        joined = "\n\n" + "\n\n".join(texts[lo : lo + 256]) + "\n"
-        for at in range(0, len(joined), 1 << 20):
-            s = table[np.frombuffer(joined[max(0, at - 2) : at + (1 << 20)].encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
-            keep = np.ones(len(s), bool)
-            keep[2:] = (s[2:] != 0) | (s[1:-1] != 0)
-            s = s[keep]
-            if len(s) > 2:
-                total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+    tail, before = np.zeros(0, np.int32), 0
+    for text in texts:
+        joined = "\0\0" + text + "\n"
+        for at in range(0, len(joined), 1 << 18):
+            s = table[np.frombuffer(joined[at : at + (1 << 18)].encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+            keep = (s != 0) | (np.concatenate([[before], s[:-1]]) != 0)
+            if not at:
+                keep[:2] = True
+            before = s[-1]
+            s = np.concatenate([tail, s[keep]])
+            total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3) if len(s) > 2 else 0
+            tail = s[-2:]
+    total.reshape((SYMBOLS,) * 3)[:, 0, 0] = 0  # these lie between texts
     return total
 
 

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Characters that are turned into arrays at once; longer texts are cut at the next character that is no letter or digit.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
