@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows and bytes of one Arrow batch; Spark's own defaults would hold ten thousand long texts at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows that the Parquet reader decodes at once; at its default, long texts make very large arrays.
+READER_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session, unless it has a bound of its own."""
+    """Bound the Arrow batches and reader batches of the session, unless it has bounds of its own."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -45,10 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, gather: bool = False) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder.
+
+    gather shuffles a table that is far smaller than what its tasks have read into fewer, fuller files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.hint("rebalance") if gather else df).checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

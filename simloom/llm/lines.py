@@ -28,14 +28,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later documents are collected as bitmaps: a word w holds bit p for the line 64 w + p that goes; other lines stay.
     Documents that lose nothing have no row.
     """
-    spark = docs.sparkSession
     text = common.id_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least)
     rows = keyed.select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_hash", "pos")
-    rows = common.cut(rows)  # the sampling for ranges reads them a second time
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "hash", "doc_id", "pos").withColumn("part", F.spark_partition_id())
+    rows = common.cut(rows, gather=True)  # the sampling for ranges reads them a second time
+    ranged = rows.repartitionByRange("hash", "doc_id", "pos").withColumn("part", F.spark_partition_id())
     dealt = common.cut(ranged)
     edges = dealt.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
     edges = edges.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("hash"))

@@ -190,7 +190,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     component beyond one block is cut into blocks by a hash, and each pair of blocks is a task; so no group, however large, has to
     fit into one. A task finds all links by products of incidence matrices and hands on one row a class, never pairs.
     """
-    sig = common.cut(signatures(docs, n, threshold, id_col, text_col))
+    sig = common.cut(signatures(docs, n, threshold, id_col, text_col), gather=True)
     known = sig.filter(F.col("doc_id").isNotNull())
     grouped = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = common.cut(grouped)

@@ -163,4 +163,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS,
     packed under null; other columns are not read; an empty table gives an empty one. Pieces, not ids, are kept in the
     shared folder, so nothing is tokenized twice.
     """
-    return best_fit(common.cut(pieces(docs, path, capacity, END_ID, id_col, text_col)), capacity, **limits)
+    return best_fit(common.cut(pieces(docs, path, capacity, END_ID, id_col, text_col), gather=True), capacity, **limits)
