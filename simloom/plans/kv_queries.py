@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from simloom.operators import index, kv
 from simloom.plans.vector_queries import ANGLE_SQL, THEN_INSERT_SQL, THRESHOLD, angle_family, embeddings, query, table
+from simloom.sources import shared
 from simloom.streaming import online
 
 
@@ -204,14 +202,9 @@ def generation_retired(spark, sf_dir):
     return online.live_generations(embeddings(spark, sf_dir).select("vector_id"), "vector_id", 50, 4).select("vector_id", "generation")
 
 
-def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streamed(spark, sf_dir, merge_threshold: int):
     """An online index that has read all embeddings as a stream of four files in order."""
-    root = scratch(spark)
+    root = shared.scratch_path(spark, "stream")
     v = embeddings(spark, sf_dir)
     bounds = v.agg(F.min("vector_id"), F.max("vector_id")).first()
     step = (bounds[1] - bounds[0]) // 4 + 1

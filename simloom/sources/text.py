@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import vectors
+from simloom.sources import shared
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -42,21 +43,13 @@ def number_rows(df: DataFrame, order: str, name: str = "vector_id") -> DataFrame
 
     Rows are dealt by ranges and numbered within each; the counts of the ranges, one row a partition, give the offsets.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    ranged.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() or ranged.sparkSession.sparkContext.setCheckpointDir(_shared(df.sparkSession))
-    ranged = ranged.checkpoint()
+    ranged = shared.cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     return ranged.withColumn("_k", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_k")).cast("long")).drop("_part", "_start", "_k")
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="simloom-")
-
-
 def spill(df: DataFrame, path: str, key: str) -> None:
     """Append a generation of a collection to a folder, with a bloom filter on its key for the lookups that come."""
     df.write.mode("append").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
