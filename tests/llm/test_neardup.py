@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from simloom.llm import components as component_module
 from simloom.llm import neardup, words
 from simloom.llm.components import components
 
@@ -27,6 +28,15 @@ class Union:
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=25))
 def test_components_against_union(spark, edges):
+    components_agree(spark, edges)
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(component_module, "HUB_EDGES", 3)
+    components_agree(spark, [(k, 9) for k in range(20)] + [(k, 30 + k) for k in range(20)] + [(70 - k, 71) for k in range(8)])
+
+
+def components_agree(spark, edges):
     u = Union({x for e in edges if e[0] != e[1] for x in e})
     for a, b in edges:
         if a != b:
