@@ -18,7 +18,7 @@ NGRAM, THRESHOLD = 5, 0.8
 #: Wanted chance that a pair at the threshold meets in a band, and hash functions at most.
 TARGET_RECALL, MOST_HASHES = 0.9999, 128
 #: N-grams and documents of one block on average; a task verifies one block, or one block against another.
-BLOCK_GRAMS, BLOCK_DOCS = 1 << 20, 1024
+BLOCK_GRAMS, BLOCK_DOCS = 1 << 20, 512
 #: Columns of an incidence matrix.
 COLUMNS = 4096
 

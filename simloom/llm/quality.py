@@ -16,6 +16,8 @@ FORMS = 16
 #: Labelled documents that the network is fitted on at most, about.
 TRAIN_DOCS = 6000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
+#: Tokens of an average text that every text is mixed with, so that very short ones say little.
+PRIOR_TOKENS = 8
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +114,12 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.spread = x.mean(0), x.std(0) + 1e-6
+        n = np.expm1(10 * x[:, -1:])
+        self.prior = (x[:, :-1] * n).sum(0) / max(1.0, n.sum())
+        mixed = self.mix(x)
+        self.mean, self.spread = mixed.mean(0), mixed.std(0) + 1e-6
         self.temperature = 1.0
-        z = (x - self.mean) / self.spread
+        z = (mixed - self.mean) / self.spread
         apart = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
         fit_x, fit_y = z[~apart], y[~apart].astype(float)
         w = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(())]
@@ -134,8 +139,13 @@ class Network:
             loss = lambda t: np.logaddexp(0, -logits / t * (2 * truth - 1)).mean()
             self.temperature = float(min(np.geomspace(0.25, 16, 49), key=loss))
 
+    def mix(self, x: np.ndarray) -> np.ndarray:
+        """Rows of pool() with PRIOR_TOKENS average tokens put in."""
+        n = np.expm1(10 * x[:, -1:])
+        return np.concatenate([(x[:, :-1] * n + PRIOR_TOKENS * self.prior) / (n + PRIOR_TOKENS), x[:, -1:]], 1)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh((x - self.mean) / self.spread @ self.w[0] + self.w[1])
+        h = np.tanh((self.mix(x) - self.mean) / self.spread @ self.w[0] + self.w[1])
         return h @ self.w[2] + self.w[3]
 
     def probability(self, x: np.ndarray) -> np.ndarray:

@@ -215,6 +215,8 @@ def chance(k_toxic: float, k_clean: float, n_toxic: int, n_clean: int) -> float:
 def beyond_chance(k_toxic: float, k_clean: float, n_toxic: int, n_clean: int) -> bool:
     """The likelihood ratio of the feature's own share of toxic documents against the share of all exceeds the number of features there can be."""
     share, n = n_toxic / max(1, n_toxic + n_clean), k_toxic + k_clean
+    if not k_toxic or share in (0, 1):
+        return False
     gain = k_toxic * math.log(k_toxic / n / share) + (k_clean * math.log(k_clean / n / (1 - share)) if k_clean else 0)
     return k_toxic > share * n and gain > math.log(FEATURES)
 
@@ -224,8 +226,9 @@ def select(bags: list[frozenset[str]], clean: Counter, n_clean: int) -> Lexicon:
 
     Features are taken by falling evidence, whole words and longer beginnings first among equals. One counts if so many
     documents speak for it that no chance explains them, or if the toxic documents that no feature so far explains still
-    speak for it; so rare words that merely stand beside a toxic word stay out. With a word, its beginnings that no clean
-    document has come in too.
+    speak for it; so rare words that merely stand beside a toxic word stay out. A feature that clean documents have too is
+    judged by unexplained documents alone, so a beginning goes where a longer one does its work. With a word, its beginnings
+    that no clean document has come in too.
     """
     n = len(bags)
     toxic = Counter(f for bag in bags for f in bag)
@@ -239,10 +242,12 @@ def select(bags: list[frozenset[str]], clean: Counter, n_clean: int) -> Lexicon:
     explained, weights = np.zeros(n, bool), {}
     for f in ranked:
         at = np.array(where[f])
-        left = int((~explained[at]).sum())
-        if beyond_chance(len(at), clean[f], n, n_clean) or left >= LEAST_DOCS and chance(left, clean[f], n, n_clean) >= RARE_EVIDENCE:
+        left, among = int((~explained[at]).sum()), clean[f]
+        counted = left if among else len(at)
+        sure = beyond_chance(counted, among, n, n_clean) and chance(counted, among, n, n_clean) >= LEAST_EVIDENCE
+        if sure or left >= LEAST_DOCS and chance(left, among, n, n_clean) >= RARE_EVIDENCE:
             explained[at] = True
-            weights[f] = min(value[f], 0.999)
+            weights[f] = min(chance(counted, among, n, n_clean), 0.999)
             if f[-1] == "$":
                 weights |= {g: min(value[g], 0.999) for g in features(f[:-1])[1:] if len(g) > 5 and g in value and not clean[g] and value[g] >= LEAST_EVIDENCE}
     return Lexicon(weights, min(0.4, n / max(1, n + n_clean) / 10))
