@@ -153,6 +153,13 @@ def prefix_leaves(index: DataFrame, most: int = 32) -> DataFrame:
     return out.select(*index.columns, level.cast("int").alias("level"), named.alias("prefix_key"))
 
 
+def prefix_candidates(leaves: DataFrame) -> DataFrame:
+    """Distinct pairs (query_id, neighbor_id) of different vectors whose entries ended under the same tagged prefix."""
+    q = leaves.select("table_id", "prefix_key", F.col("vector_id").alias("query_id"))
+    n = leaves.select("table_id", "prefix_key", F.col("vector_id").alias("neighbor_id"))
+    return q.join(n, ["table_id", "prefix_key"]).filter("query_id <> neighbor_id").select("query_id", "neighbor_id").distinct()
+
+
 def arrival_numbers(df: DataFrame, order: str) -> DataFrame:
     """df with arrival, from 0 in the given order; a window over all rows, for small inputs and tests."""
     return df.withColumn("arrival", F.row_number().over(Window.orderBy(order)) - 1)

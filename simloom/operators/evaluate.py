@@ -59,6 +59,12 @@ def summary(df: DataFrame, value: str | Column, by: list[str] | None = None) ->
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
 
 
+def client_summary(df: DataFrame, client: str, value: str) -> DataFrame:
+    """Clients, and the largest, smallest and mean of their own mean latencies."""
+    each = df.groupBy(client).agg(F.avg(value).alias("own"))
+    return each.agg(F.count("own").alias("clients"), F.max("own").alias("max_value"), F.min("own").alias("min_value"), F.avg("own").alias("avg_value"))
+
+
 def throughput(df: DataFrame, time: str) -> DataFrame:
     """Rows, seconds between the first and the last, and rows a second (null without a duration)."""
     at = F.unix_micros(F.col(time).cast("timestamp"))

@@ -169,6 +169,15 @@ def sort_merge(parts: list[DataFrame], keys: list[str], *order: str) -> DataFram
     return first(whole, keys, *order)
 
 
+def changes(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The change feed between two versions: keys, change (insert, update or delete), old_value, new_value; unchanged keys have no row."""
+    a = old.select(*keys, F.col(value).alias("old_value"), F.lit(True).alias("_a"))
+    b = new.select(*keys, F.col(value).alias("new_value"), F.lit(True).alias("_b"))
+    both = a.join(b, keys, "full")
+    kind = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), "delete").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "update")
+    return both.withColumn("change", kind).filter(F.col("change").isNotNull()).select(*keys, "change", "old_value", "new_value")
+
+
 def queue(df: DataFrame, order: str, n: int, kind: str = "fifo") -> DataFrame:
     """What n takes yield from a queue (fifo) or a stack (lifo), or what a ring of n places holds (circular), in order of position."""
     if kind not in ("fifo", "lifo", "circular"):

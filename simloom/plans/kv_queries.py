@@ -174,6 +174,21 @@ def kv_counters(spark, sf_dir):
     return orders(spark, sf_dir).agg(F.count("*").alias("n"), (F.count_if(F.col("o_totalprice") > 200000) > 0).alias("any_large"), F.max("o_orderkey").alias("last_key"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'delete' WHEN c_custkey % 5 = 0 THEN 'insert' ELSE 'update' END AS change,
+  CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 <> 0 THEN NULL ELSE c_mktsegment END AS old_value, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS new_value
+FROM customer WHERE (c_custkey % 7 = 0 AND c_custkey % 5 <> 0) OR (c_custkey % 5 = 0 AND c_custkey % 7 <> 0) OR (c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0)""")
+def kv_change_feed(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    changed = F.when(F.col("c_custkey") % 3 == 0, "CHANGED").otherwise(F.col("c_mktsegment"))
+    return kv.changes(c.filter("c_custkey % 5 <> 0"), c.filter("c_custkey % 7 <> 0").withColumn("c_mktsegment", changed), ["c_custkey"], "c_mktsegment")
+
+
+@query("SELECT c_custkey AS k, 'c' AS source FROM customer UNION ALL SELECT s_suppkey AS k, 's' AS source FROM supplier")
+def kv_merge_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("c").alias("source"))
+    return c.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("s").alias("source")))
+
+
 for kind, name, by, place in (("fifo", "queue_fifo", "event_id", "event_id"), ("lifo", "stack_lifo", "event_id DESC", "event_id DESC"), ("circular", "circular_last_n", "event_id DESC", "event_id")):
 
     def take(spark, sf_dir, kind=kind):

@@ -276,13 +276,20 @@ def prefix_tagged_keys(spark, sf_dir):
     return adaptive.prefix_probes(index.build_index(embeddings(spark, sf_dir), deep_family()))
 
 
-@query(f"""{TAGGED_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY table_id, level, prefix_key) AS n FROM tags)
-SELECT table_id, vector_id, level, prefix_key FROM c WHERE level = 3 OR n <= 3
-QUALIFY row_number() OVER (PARTITION BY table_id, vector_id ORDER BY level) = 1""")
+PREFIX_LEAVES_SQL = f"""{TAGGED_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY table_id, level, prefix_key) AS n FROM tags),
+leaves AS (SELECT table_id, vector_id, level, prefix_key FROM c WHERE level = 3 OR n <= 3 QUALIFY row_number() OVER (PARTITION BY table_id, vector_id ORDER BY level) = 1)"""
+
+
+@query(f"{PREFIX_LEAVES_SQL} SELECT * FROM leaves")
 def prefix_leaf_keys(spark, sf_dir):
     return adaptive.prefix_leaves(index.build_index(embeddings(spark, sf_dir), deep_family()), 3).select("table_id", "vector_id", "level", "prefix_key")
 
 
+@query(f"{PREFIX_LEAVES_SQL} SELECT DISTINCT q.vector_id AS query_id, n.vector_id AS neighbor_id FROM leaves q JOIN leaves n USING (table_id, prefix_key) WHERE q.vector_id <> n.vector_id")
+def prefix_candidates(spark, sf_dir):
+    return adaptive.prefix_candidates(adaptive.prefix_leaves(index.build_index(embeddings(spark, sf_dir), deep_family()), 3))
+
+
 @query(f"""{ANGLE_SQL}, s AS (SELECT vector_id, CAST(((bucket_key >> 26) % 4 + 4) % 4 AS INTEGER) AS shard_id, list(table_id ORDER BY table_id) AS l FROM k GROUP BY 1, 2)
 SELECT vector_id, shard_id, list_concat(l, list_transform(range(8 - len(l)), lambda x: CAST(-1 AS INTEGER))) AS table_ids FROM s""")
 def shard_allocation(spark, sf_dir):
@@ -342,6 +349,13 @@ def latency_summary(spark, sf_dir):
     return evaluate.summary(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("avg_value", F.round("avg_value", 6))
 
 
+@query("""WITH u AS (SELECT user_id, avg(value) AS own FROM events GROUP BY user_id)
+SELECT count(own) AS clients, round(max(own), 6) AS max_value, round(min(own), 6) AS min_value, round(avg(own), 6) AS avg_value FROM u""")
+def client_latency_summary(spark, sf_dir):
+    out = evaluate.client_summary(table(spark, sf_dir, "events"), "user_id", "value")
+    return out.select("clients", *[F.round(c, 6).alias(c) for c in ("max_value", "min_value", "avg_value")])
+
+
 @query("""WITH t AS (SELECT count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / CAST(1000000 AS DOUBLE) AS seconds FROM events)
 SELECT n, round(seconds, 6) AS seconds, round(n / seconds, 6) AS per_second FROM t""")
 def throughput_summary(spark, sf_dir):

@@ -109,3 +109,8 @@ def test_generations(spark):
     assert sorted(r.id for r in online.live_generations(df, "id", 2, 3).collect()) == list(range(6, 12))
     inside = lambda lo, hi: [r.id for r in spark.range(4).filter(online.in_window(F.col("id"), lo, hi)).collect()]
     assert inside(0, 0) == [0] and inside(1, 2) == [1, 2] and inside(3, 0) == [0, 3]
+
+
+def test_change_feed(spark):
+    got = pairs(kv.changes(table(spark, [(1, "a"), (2, "b"), (3, None)]), table(spark, [(2, "B"), (3, None), (4, "d")]), ["k"], "v"))
+    assert got == [(1, "delete", "a", None), (2, "update", "b", "B"), (4, "insert", None, "d")]
