@@ -10,6 +10,9 @@ from simloom.llm import common
 #: A node of more neighbours than this, and than this share of all edges, is a hub.
 HUB_EDGES, HUB_SHARE = 1000, 100_000
 
+#: Edges of one file of a round's table, about, and files at least (or as many as there are).
+PART_EDGES, LEAST_PARTS = 250_000, 8
+
 
 def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
     """edges (u, v) with m of their node u from least (u, m, degree).
@@ -48,6 +51,6 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         linked = _with_least(large, least, n)
         small = linked.select(F.explode(F.array(F.struct(v.alias("u"), F.col("m").alias("v")), F.struct(u.alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = common.cut(small.select("e.u", "e.v").filter(u != v).distinct())
+        pairs = common.cut(small.select("e.u", "e.v").filter(u != v).distinct().coalesce(max(LEAST_PARTS, n // PART_EDGES)))
     leaves = pairs.select(u.alias("node"), v.alias("component"))
     return leaves.unionByName(pairs.select(v.alias("node"), v.alias("component")).distinct())

@@ -197,7 +197,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     banded = classes.select("rep", "digest", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
     edges = banded.join(heads, "band").select("rep", "head").filter("rep <> head").distinct()
-    comps = common.cut(components(edges, "rep", "head"))
+    comps = components(edges, "rep", "head")
     members = comps.join(classes.select(F.col("rep").alias("node"), "digest", "size", "copies"), "node")
     sizes = members.groupBy("component").agg(F.sum("size").alias("grams"), F.count("*").alias("docs"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
