@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.similarity import angular_distance
+from simloom.sources import shared
 
 
 def efficiency(pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -42,14 +43,19 @@ def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
 def percentile_summary(df: DataFrame, value: str, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(share, value): of the sorted values the one at place int(n * share).
 
-    Equal values are counted before they are put in order, so the one ordered window has distinct values only.
+    Equal values are counted first. Counts are dealt by ranges of the value and added up within each range; the totals of the
+    ranges, one row a partition, say where each range begins. No task sees more than its range.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    places = upto.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    place = F.floor(F.col("total") * F.col("share")).cast("long")
-    return places.filter((place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))).select("share", "value")
+    ranged = shared.cut(counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.sum("n").alias("_sum"))
+    starts = starts.select("_part", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))
+    within = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("_upto", F.sum("n").over(within)).join(F.broadcast(starts), "_part").withColumn("_upto", F.col("_start") + F.col("_upto"))
+    placed = placed.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    place = F.floor(F.col("_total") * F.col("share")).cast("long")
+    return placed.filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("n"))).select("share", "value")
 
 
 def summary(df: DataFrame, value: str | Column, by: list[str] | None = None) -> DataFrame:
