@@ -89,11 +89,12 @@ def kv_poll_first_last(spark, sf_dir):
 @query("""WITH p AS (SELECT DISTINCT p_partkey * 37 AS probe FROM part), k AS (SELECT DISTINCT o_custkey * 10 AS key FROM orders),
 f AS (SELECT probe, key AS floor FROM p ASOF LEFT JOIN k ON p.probe >= k.key), l AS (SELECT probe, key AS lower FROM p ASOF LEFT JOIN k ON p.probe > k.key),
 c AS (SELECT probe, key AS ceiling FROM p ASOF LEFT JOIN k ON p.probe <= k.key), h AS (SELECT probe, key AS higher FROM p ASOF LEFT JOIN k ON p.probe < k.key)
-SELECT probe, floor, lower, ceiling, higher FROM f JOIN l USING (probe) JOIN c USING (probe) JOIN h USING (probe)""")
+SELECT probe, coalesce(floor, -1) AS floor, coalesce(lower, -1) AS lower, coalesce(ceiling, -1) AS ceiling, coalesce(higher, -1) AS higher FROM f JOIN l USING (probe) JOIN c USING (probe) JOIN h USING (probe)""")
 def kv_floor_ceiling(spark, sf_dir):
     probes = table(spark, sf_dir, "part").select((F.col("p_partkey") * 37).alias("probe")).distinct()
     keys = orders(spark, sf_dir).select((F.col("o_custkey") * 10).alias("key"))
-    return kv.navigate(probes, "probe", keys, "key", 1000)
+    found = kv.navigate(probes, "probe", keys, "key", 1000)
+    return found.select("probe", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("floor", "lower", "ceiling", "higher")])
 
 
 @query("SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS all_values FROM lineitem GROUP BY l_orderkey")
