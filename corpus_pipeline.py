@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from simloom.llm import common, language, lines, neardup, quality, tokens
 
-#: Documents of a lower quality score go.
-LEAST_QUALITY = 0.3
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: those without a letter, and those that no learned language explains, go."""
@@ -26,13 +23,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; without labels all stay."""
+    """Documents that the quality classifier (op6) predicts as good; without labels all stay."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string")) % 3 != 1)
     sent = spark.sparkContext.broadcast(model)
 
     def keep(texts):
         vectors, network = sent.value
-        return network.probability(quality.pool(texts, vectors)) >= LEAST_QUALITY if network else [True] * len(texts)
+        return network.probability(quality.pool(texts, vectors)) >= quality.LEAST_SCORE if network else [True] * len(texts)
 
     return common.filter_texts(docs, keep)
 

@@ -16,6 +16,8 @@ FORMS = 16
 #: Labelled documents that the network is fitted on at most, about.
 TRAIN_DOCS = 6000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
+#: Documents of a lower score are rejected.
+LEAST_SCORE = 0.5
 #: Tokens of an average text that every text is mixed with, so that very short ones say little.
 PRIOR_TOKENS = 8
 
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = TRAIN_DOCS, id_c
 
 
 def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The quality of every whole text: doc_id, score (0 to 1), predicted (1 if score >= 0.5).
+    """The quality of every whole text: doc_id, score (0 to 1), predicted (1 if score >= LEAST_SCORE).
 
     Null and empty texts have no tokens and are scored as such; without labels every score is 0.5. Repeated rows and null ids
     stay; no other column is read; an empty table gives an empty one.
@@ -181,6 +183,6 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
         vectors, network = sent.value
         for part, texts in common.text_slices(batches):
             score = network.probability(pool(texts, vectors)) if network else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= LEAST_SCORE).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")

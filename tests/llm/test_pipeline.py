@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from simloom.llm import queries
+from simloom.llm import quality, queries
 
 SENTENCES = {
     "en": "the quick brown fox jumps over the lazy dog while many people watch from the quiet side of the road",
@@ -84,3 +85,15 @@ def test_stage_names_and_queries():
 def test_stages_take_empty_tables(spark, folder, stage):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[stage][1](spark, docs, folder).count() == 0
+
+
+@pytest.mark.parametrize("p", [0.2, 0.4, 0.6])
+def test_quality_stage_drops_what_the_classifier_rejects(spark, folder, monkeypatch, p):
+    network = quality.Network(np.random.default_rng(0).random((20, quality.DIMS + 1)), np.arange(20) % 2)
+    network.w[2], network.w[3], network.temperature = np.zeros(quality.HIDDEN), np.log(p / (1 - p)), 1.0
+    model = (np.zeros((quality.BUCKETS, quality.DIMS), np.float32), network)
+    monkeypatch.setattr(quality, "fit", lambda *a: model)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.keep_good_quality(spark, docs, folder).collect()}
+    assert kept == {r.doc_id for r in quality.classify(docs, model).filter("predicted = 1").collect()}
+    assert len(kept) == (docs.count() if p > 0.5 else 0)
