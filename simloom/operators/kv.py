@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from simloom.sources import text
+
 
 def get(df: DataFrame, key: str, values) -> DataFrame:
     """Rows of the given keys; a list becomes a pushed-down filter, a DataFrame with the key a semi join."""
@@ -81,6 +83,11 @@ def poll(df: DataFrame, key: str, last: bool = False, n: int = 1) -> DataFrame:
     return df.orderBy(F.desc(key) if last else F.asc(key)).limit(n)
 
 
+def descending(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """All rows, each with its position from 0 on by falling key."""
+    return text.number_rows(df, F.desc(key), name)
+
+
 def navigate(probes: DataFrame, probe: str, df: DataFrame, key: str, width: int) -> DataFrame:
     """probes with floor, lower, ceiling and higher: the nearest keys at most, under, at least and over each probe.
 

@@ -79,6 +79,11 @@ def kv_descending(spark, sf_dir):
     return kv.poll(orders(spark, sf_dir), "o_orderkey", last=True, n=100).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS position, o_orderkey, o_totalprice FROM orders")
+def kv_descending_view(spark, sf_dir):
+    return kv.descending(orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), "o_orderkey").select("position", "o_orderkey", "o_totalprice")
+
+
 @query("SELECT * FROM (SELECT 'first' AS which, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3) UNION ALL SELECT * FROM (SELECT 'last' AS which, o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 3)")
 def kv_poll_first_last(spark, sf_dir):
     o = orders(spark, sf_dir).select("o_orderkey")

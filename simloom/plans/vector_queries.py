@@ -456,6 +456,13 @@ def renumbered_load(spark, sf_dir):
     return out.select("vector_id", F.round(vectors.normalize(F.col("values"))[0], 6).alias("first_unit"))
 
 
+@query(f"WITH {VECTORS_SQL} SELECT row_number() OVER (ORDER BY vector_id * 3 + 7) - 1 AS vector_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first_unit FROM v")
+def renumbered_load_all(spark, sf_dir):
+    v = embeddings(spark, sf_dir).select((F.col("vector_id") * 3 + 7).alias("old_id"), "values")
+    out = text.number_rows(v, "old_id")
+    return out.select("vector_id", F.round(vectors.normalize(F.col("values"))[0], 6).alias("first_unit"))
+
+
 @query("SELECT CAST(x AS BIGINT) AS vector_id, CAST(16 AS INTEGER) AS size, true AS valid_vector FROM range(1000) r(x)")
 def synthetic_sparse_vectors(spark, sf_dir):
     s = text.synthetic(spark, 1000, 16, 0.7)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import vectors
@@ -38,7 +38,7 @@ def load_capped(df: DataFrame, cap: int, order: str = "vector_id") -> DataFrame:
     return few.withColumn("vector_id", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
 
 
-def number_rows(df: DataFrame, order: str, name: str = "vector_id") -> DataFrame:
+def number_rows(df: DataFrame, order: str | Column, name: str = "vector_id") -> DataFrame:
     """df with consecutive numbers from 0 in the given order.
 
     Rows are dealt by ranges and numbered within each; the counts of the ranges, one row a partition, give the offsets.

@@ -26,3 +26,18 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(got.columns) == sorted(names)
     key = lambda rows: sorted((tuple(r) for r in rows), key=str)
     assert key(got.select(*names).collect()) == key(want.fetchall())
+
+
+def test_descending_view_and_renumbered_load_have_all_rows(spark):
+    orders = sorted((r.o_orderkey for r in spark.read.parquet(f"{TINY}/orders.parquet").collect()), reverse=True)
+    got = {r.position: r.o_orderkey for r in registry.QUERIES["kv_descending_view"](spark, TINY).collect()}
+    assert len(orders) > 100 and got == dict(enumerate(orders))
+    vectors = spark.read.parquet(f"{TINY}/embeddings.parquet").orderBy("vec_id").collect()
+    loaded = {r.vector_id: r.first_unit for r in registry.QUERIES["renumbered_load_all"](spark, TINY).collect()}
+    assert sorted(loaded) == list(range(len(vectors)))
+    assert all(abs(loaded[k] - r.embedding[0] / sum(x * x for x in r.embedding) ** 0.5) < 1e-5 for k, r in enumerate(vectors))
+
+
+@pytest.mark.parametrize("name", ["kv_descending_view", "renumbered_load_all"])
+def test_whole_views_match_their_sql(spark, name):
+    test_queries_match_their_sql(spark, name)
