@@ -36,10 +36,14 @@ MEMO_CAP = 400_000
 
 _token = re.compile(rf"[\w{re.escape(SIGNS)}.\-]+")
 _edge = re.compile(r"^[^\w@$!|+(€*]+|[^\w]+$")
-_run = re.compile(r"([^\W\d_])\1\1")
+_edge_but_signs = re.compile(rf"^[^\w@$!|+(€*]+|[^\w{re.escape(SIGNS)}]+$")
+_run = re.compile(r"([^\W\d_])\1")
 _single = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
+#: As _single, but beside other signs too, unless these join a letter to a word.
+_single_beside = re.compile(r"(?<!\w)(?<!\w['’.,\-])\S(?:[ \t]{1,3}\S){2,}(?!\w)(?!['’.,\-]\w)")
 _dotted = re.compile(r"^[^\W_](?:[.\-_*][^\W_]){2,}$")
 _disguised = re.compile(rf"[^\W\d_][{re.escape(SIGNS)}]|[{re.escape(SIGNS)}][^\W\d_]")
+_signs_alone = re.compile(r"^[@$!|+(€]*([@$!|+(€])(?!\1)[@$!|+(€]+$")
 _hidden = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
 
@@ -154,15 +158,16 @@ class Restorer:
         out = []
         for part in _token.findall(token):
             core = _edge.sub("", part)
-            if _dotted.match(core) or _run.search(core) or _disguised.search(core):
-                out += [w for w in restore(core, self.model).split() if w.isalpha() or len(w) > 1]
+            for form in dict.fromkeys((core, _edge_but_signs.sub("", part))):
+                if _dotted.match(form) or _run.search(form) or _disguised.search(form) or _signs_alone.match(form):
+                    out += [w for w in restore(form, self.model).split() if w.isalpha() or len(w) > 1]
             out += [w for w in re.split(r"[\W\d_]+", core) if w]
         return tuple(dict.fromkeys(out))
 
     def spaced(self, text: str) -> list[str]:
         """The words that are spelled out with blanks between letters."""
         out = []
-        for found in _single.findall(text):
+        for found in dict.fromkeys(_single.findall(text) + _single_beside.findall(text)):
             plain = unicodedata.normalize("NFKC", found).translate(_hidden).lower()
             if sum(c.isalpha() or c in LEET for c in plain) > 2:
                 out += restore(plain, self.model).split()

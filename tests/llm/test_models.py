@@ -154,6 +154,15 @@ def test_plain_words_stay(char_model):
     assert r.words("") == set()
 
 
+@pytest.mark.parametrize("word,shape", [("stupid", "stuupid"), ("idiot", "iddiot"), ("idiot", "Idiiot,"), ("ass", "a$$"), ("ass", "@$$"), ("ass", "a$$."), ("stupid", "s t u p i d."), ("stupid", '"s t u p i d'), ("stupid", "(s t u p i d)!")])
+def test_doubled_letters_trailing_signs_and_spelling_beside_punctuation(word, shape):
+    rnd = random.Random(2)
+    words_of = "you are a stupid idiot and an ass this is some other text that people write".split()
+    r = toxicity.Restorer(toxicity.CharModel(toxicity.trigram_counts([" ".join(rnd.choice(words_of) for _ in range(400)) for _ in range(30)])))
+    assert word in r.words(f"see {shape} there")
+    assert r.words("a letter, good stuff! it's a b c-d") >= {"letter", "good", "stuff"}
+
+
 def test_viterbi_against_all_paths(char_model):
     import itertools
 
