@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), a temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir; where that is unset in a local session, a temporary one, which is then set.
+
+    Executors on other machines see no temporary folder of the driver, so there an unset folder is an error.
+    """
     context = spark.sparkContext
     set_here = context._jsc.sc().getCheckpointDir()
     if set_here.isDefined():
         return set_here.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="simloom-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="simloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -30,3 +36,9 @@ def cut(df: DataFrame, gather: bool = False) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
