@@ -8,9 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.sources.shared import cut, scratch_path, shared_dir
+from simloom.sources.shared import cut, discard, scratch_path, shared_dir
 
-__all__ = ["cut", "scratch_path", "shared_dir"]
+__all__ = ["cut", "discard", "scratch_path", "shared_dir"]
 
 #: Text bytes that a Python worker holds decoded at once; a single longer text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -40,41 +40,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches and reader batches of the session, unless it has bounds of its own."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
-        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
-    if spark.conf.get(rows) == "10000":
-        spark.conf.set(rows, str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that an operator reads, under fixed names, so that no other column can clash."""
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), a temporary one, which is then set."""
-    context = spark.sparkContext
-    set_here = context._jsc.sc().getCheckpointDir()
-    if set_here.isDefined():
-        return set_here.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="simloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame, gather: bool = False) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder.
-
-    gather shuffles a table that is far smaller than what its tasks have read into fewer, fuller files.
-    """
-    shared_dir(df.sparkSession)
-    return (df.hint("rebalance") if gather else df).checkpoint()
-
-
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
     """Whether crc32 of the id as text, modulo modulus, equals remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))

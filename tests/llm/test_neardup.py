@@ -58,15 +58,18 @@ def grams(text):
 
 
 def brute(docs):
-    sets = [(i, grams(t)) for i, t in docs]
-    u, links = Union({i for i, _ in docs}), [0] * len(docs)
+    """(id, class id, links) of each row; rows are joined, not ids."""
+    sets = [grams(t) for _, t in docs]
+    u, links = Union(range(len(docs))), [0] * len(docs)
     for a in range(len(docs)):
         for b in range(len(docs)):
-            x, y = sets[a][1], sets[b][1]
-            if a != b and len(x & y) >= 0.8 * len(x | y):
+            if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 links[a] += 1
-                u.join(sets[a][0], sets[b][0])
-    return sorted((i, u.find(i), n) for (i, _), n in zip(docs, links, strict=True))
+                u.join(a, b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        least[u.find(k)] = min(least.get(u.find(k), i), i)
+    return sorted((i, least[u.find(k)], links[k]) for k, (i, _) in enumerate(docs))
 
 
 def corpus():
@@ -82,15 +85,63 @@ def corpus():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block_docs", [2, 5, 1024])
-def test_join_against_brute_force(spark, monkeypatch, block_docs):
+@pytest.mark.parametrize("block_docs,bucket_rows,repeat", [(2, 2, 1), (5, 3, 7), (1024, 512, 1)])
+def test_join_against_brute_force(spark, monkeypatch, block_docs, bucket_rows, repeat):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", block_docs)
-    docs = corpus()
+    monkeypatch.setattr(neardup, "LEAST_BLOCK", min(block_docs, 96))
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", bucket_rows)
+    docs = [(i // repeat, t) for i, t in corpus()]
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in docs], "doc_id long, text string, digest string, node string")
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_join(df).collect())
     assert got == brute(docs)
 
 
+def near_texts():
+    words_of = [f"w{k}" for k in range(60)]
+    return [" ".join(words_of), " ".join(words_of[:-1] + ["x"]), " ".join(words_of[::-1]), " ".join([*words_of[::-1][:-1], "y"])]
+
+
+def test_repeated_ids_lose_no_link(spark):
+    a, a2, b, b2 = near_texts()
+    docs = [(1, a), (1, b), (2, a2), (3, b2), (4, a), (4, a), (5, "alone with these few words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_join(df).collect())
+    assert got == brute(docs) and (2, 1, 3) in got and (3, 1, 1) in got
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, a2, b, _ = near_texts()
+    docs = [(1, a, 1), (2, a, 2), (2, b, 3), (7, "seven has the same text", 4), (7, "seven has the same text", 5), (3, a2, 6), (None, a, 7), (None, a, 8), (9, None, 9), (10, "", 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, text_hash int")
+    got = sorted((tuple(r) for r in neardup.keep_first_rows(df).collect()), key=str)
+    assert [x[2] for x in got if x[0] == 7] in ([4], [5])
+    assert {x[2] for x in got} - {4, 5} == {1, 3, 7, 8, 9} and len(got) == 6
+    assert neardup.keep_first_rows(df.limit(0)).count() == 0
+
+
+def test_chance_meetings_join_nothing():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 256, (1, 120), dtype=np.uint8)
+    near = np.where(rnd.random((6, 120)) < 0.9, base, rnd.integers(0, 256, (6, 120), dtype=np.uint8))
+    far = np.where(rnd.random((6, 120)) < 0.3, base, rnd.integers(0, 256, (6, 120), dtype=np.uint8))
+    found, roots = neardup.spanning_edges(np.concatenate([near, far]), neardup.least_agreement(0.8, 120))
+    assert sorted(found) == [1, 2, 3, 4, 5] and set(roots) == {0}
+
+
+def test_sketches_keep_every_pair_of_a_plain_comparison():
+    rnd = np.random.default_rng(5)
+    sketches = rnd.integers(0, 2, (40, 10), dtype=np.uint8)
+    u = Union(range(40))
+    for a in range(40):
+        for b in range(a):
+            if (sketches[a] == sketches[b]).sum() >= 9:
+                u.join(a, b)
+    got = Union(range(40))
+    for a, b in zip(*neardup.spanning_edges(sketches, 9), strict=True):
+        got.join(a, b)
+    assert [u.find(k) for k in range(40)] == [got.find(k) for k in range(40)]
+
+
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_join(df).collect()}
