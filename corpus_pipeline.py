@@ -46,9 +46,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of near copies join, the one with the smallest id; documents without an id stay."""
-    found = neardup.jaccard_join(docs)
-    losers = found.filter(F.col("class_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(losers.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return neardup.keep_first_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of the documents of sf_dir; every stage but the last is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The packed sequences of the documents of sf_dir.
+
+    Every stage but the last is written to the shared folder and read again; a stage's table goes once the next one is whole.
+    """
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = common.scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            common.discard(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
