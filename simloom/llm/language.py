@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from simloom.llm import common
 
-#: Labelled text that a language's automaton is built of: so many documents, and so many characters of each (its middle).
-SAMPLE_DOCS, SAMPLE_CHARS = 24, 1200
-#: Characters after which a phrase always ends, so that long texts are parsed in lanes side by side.
+#: Labelled rows that a language's automaton is built of: so many documents, of those whose whole text has at most so many characters.
+SAMPLE_DOCS, SAMPLE_CHARS = 24, 4000
+#: Letters of one lane; lanes are parsed side by side and then joined, which has no effect on results.
 LANE = 1024
+#: Slots of the table of transitions for each transition, at least.
+SLOTS = 3
 UNKNOWN = "und"
 #: Scores under this are rejected by the pipeline.
 LEAST_SCORE = 0.3
@@ -78,10 +80,9 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 class CrossParser:
     """Counts the phrases that texts need in terms of each language's sample.
 
-    A phrase is the longest match of what follows in the sample, or one unknown letter. The automata of all languages stand
-    in one table: state and letter give the next state; where no match goes on, they give the state of a new phrase that
-    begins with the letter, marked by the sign. After an unknown letter comes a state that no letter goes on from. The first
-    state, where no phrase is open, is left for good by the first letter.
+    A phrase is the longest match of what follows in the sample, or one unknown letter. The transitions of all automata stand
+    in one hash table of (state, letter); where it has none, the phrase ends and a new one begins with the letter. An unknown
+    letter leads to a state of its language that no letter goes on from.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -89,56 +90,135 @@ class CrossParser:
         folded = {x: fold([samples[x]])[0] for x in self.langs}
         self.alphabet = np.unique(np.concatenate([*folded.values(), np.array([32], np.uint32)]))
         self.width = len(self.alphabet) + 1
-        tables, base, self.roots, self.cost = [], 0, [], []
-        for x in self.langs:
+        self.first = np.zeros((len(self.langs), self.width), np.int64)
+        keys, targets, base, cost = [], [], 0, []
+        for k, x in enumerate(self.langs):
             text = (np.searchsorted(self.alphabet, folded[x]) + 1).tolist()
             steps = suffix_automaton(text)
-            rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
-            letters = np.array([c for s in steps for c in s], np.int64)
-            targets = np.array([t for s in steps for t in s.values()], np.int64)
-            root = np.full(self.width, base + len(steps), np.int64)
-            root[letters[rows == 0]] = targets[rows == 0] + base
-            table = np.broadcast_to(-1 - root, (len(steps) + 1, self.width)).copy()
-            table[rows, letters] = targets + base
-            table[0] = root
-            tables.append(table.astype(np.int32))
-            self.roots.append(base)
-            self.cost.append(np.log2(max(2, len(text))))
+            states = np.repeat(np.arange(len(steps)), [len(t) for t in steps])
+            letters = np.array([c for t in steps for c in t], np.int64)
+            to = np.array([n for t in steps for n in t.values()], np.int64) + base
+            self.first[k] = base + len(steps)
+            self.first[k, letters[states == 0]] = to[states == 0]
+            keys.append((states + base) * self.width + letters)
+            targets.append(to)
+            cost.append(np.log2(max(2, len(text))))
             base += len(steps) + 1
-        self.table = np.concatenate(tables).ravel()
-        self.cost = np.array(self.cost)
+        self.cost = np.array(cost)
+        self._fill(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *targets]))
+
+    def _fill(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        bits = max(4, int(SLOTS * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        at = self._home(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several for one slot the last stays
+            mine = self.keys[at] == keys
+            self.targets[at[mine]] = targets[mine]
+            keys, targets, at = keys[~mine], targets[~mine], (at[~mine] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The next state of each, or -1 where the match does not go on."""
+        keys = (states * self.width + letters).ravel()
+        at = self._home(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, self.targets[at], -1)
+        open_at = np.flatnonzero((got != keys) & (got >= 0))
+        while len(open_at):
+            slot = at[open_at] = (at[open_at] + 1) & self.mask
+            got, wanted = self.keys[slot], keys[open_at]
+            hit = got == wanted
+            out[open_at[hit]] = self.targets[slot[hit]]
+            open_at = open_at[~hit & (got >= 0)]
+        return out.reshape(states.shape)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == codes, at + 1, 0).astype(np.int32)
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Languages x texts: the number of phrases of each text."""
-        out = np.zeros((len(self.langs), len(sizes)), np.int64)
-        if not len(codes):
+        """Languages x texts: the number of phrases of each whole text.
+
+        Texts are cut into lanes, which are parsed side by side as if a phrase began with each, and then joined (see _join).
+        """
+        langs = len(self.langs)
+        out = np.zeros((langs, len(sizes)), np.int64)
+        if not len(codes) or not langs:
             return out
-        symbols = np.concatenate([self.symbols(codes), np.zeros(LANE, np.int32)])
+        symbols = self.symbols(codes)
         starts = np.cumsum(sizes) - sizes
         lanes = -(-sizes // LANE)
         owner = np.repeat(np.arange(len(sizes)), lanes)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin, length = starts[owner] + number * LANE, np.minimum(LANE, sizes[owner] - number * LANE)
         order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
-        active = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than t
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        count = np.zeros(state.shape, np.int32)
-        for t in range(int(length[0])):
+        active = np.searchsorted(-length[order], -np.arange(int(length.max())), side="left")  # lanes longer than t
+        at = begin[order]
+        state = self.first[:, symbols[at]]
+        count = np.ones(state.shape, np.int64)
+        for t in range(1, len(active)):
             a = int(active[t])
-            nxt = self.table.take(state[:, :a] * self.width + symbols[begin[:a] + t])
+            letters = symbols[at[:a] + t]
+            nxt = self.step(state[:, :a], letters)
             ended = nxt < 0
             count[:, :a] += ended
-            state[:, :a] = np.where(ended, -1 - nxt, nxt)
-        count += 1  # the phrase that the end of the lane closes
-        for k in range(len(self.langs)):
-            out[k] = np.bincount(owner, count[k], minlength=len(sizes)).astype(np.int64)
+            state[:, :a] = np.where(ended, self.first[:, letters], nxt)
+        ends, counts = np.empty_like(state), np.empty_like(count)
+        ends[:, order], counts[:, order] = state, count
+        if (number > 0).any():
+            self._join(symbols, begin, length, number > 0, ends, counts)
+        for k in range(langs):
+            out[k] = np.bincount(owner, counts[k], minlength=len(sizes)).astype(np.int64)
         return out
 
+    def _join(self, symbols, begin, length, later, ends, counts) -> None:
+        """Correct the counts of lanes that go on from the lane before them.
+
+        Such a lane is parsed again from the last state of the lane before it, together with the parse that began with it,
+        until both are in one state, from where on they agree. Where they differ to the end, the next lane is corrected again;
+        lanes of a text that never agree are so parsed one after the other.
+        """
+        langs = np.repeat(np.arange(len(ends)), len(begin))
+        lane = np.tile(np.arange(len(begin)), len(ends))
+        todo = np.tile(later, len(ends))
+        langs, lane = langs[todo], lane[todo]
+        fresh_ends, fresh_counts = ends.copy(), counts.copy()
+        last = np.append(~later[1:], True)  # lanes that end their text
+        while len(lane):
+            before = ends[langs, lane - 1].copy()
+            end, extra = fresh_ends[langs, lane].copy(), np.zeros(len(lane), np.int64)
+            going, true, guess = np.arange(len(lane)), before, np.full(len(lane), -1, np.int64)
+            for t in range(int(length[lane].max())):
+                inside = length[lane[going]] > t
+                end[going[~inside]] = true[~inside]
+                going, true, guess = going[inside], true[inside], guess[inside]
+                letters, k = symbols[begin[lane[going]] + t], langs[going]
+                anew = self.first[k, letters]
+                nxt = self.step(true, letters)
+                extra[going] += nxt < 0
+                true = np.where(nxt < 0, anew, nxt)
+                if t:
+                    nxt = self.step(guess, letters)
+                    extra[going] -= nxt < 0
+                    guess = np.where(nxt < 0, anew, nxt)
+                else:
+                    extra[going] -= 1
+                    guess = anew
+                apart = true != guess
+                going, true, guess = going[apart], true[apart], guess[apart]
+                if not len(going):
+                    break
+            end[going] = true
+            counts[langs, lane] = fresh_counts[langs, lane] + extra
+            moved = (end != ends[langs, lane]) & ~last[lane]
+            ends[langs, lane] = end
+            langs, lane = langs[moved], lane[moved] + 1
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text.
 
@@ -173,21 +253,23 @@ def parser(samples: dict[str, str]) -> CrossParser:
 
 
 def learn_samples(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """A bounded labelled sample: of each language docs_per_lang documents by hash of the id, chars characters of each.
+    """A bounded sample of labelled rows: of each language the whole texts of docs_per_lang rows by a hash of id and text.
 
-    The ids are chosen first, from all documents that have letters, so that no text is moved for those not chosen.
+    Rows with letters and of at most chars characters count; a language without one has its shortest row. The rows are
+    chosen by their hashes first, so that no text is moved for those not chosen.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit("sample")).alias("h")).withColumn("r", first).filter(F.col("r") <= docs_per_lang)
-    chosen = [r.doc_id for r in ids.select("doc_id").distinct().collect()]
-    middle = F.substring("text", F.floor(F.greatest(F.lit(0), F.char_length("text") - chars) / 2).cast("int") + 1, F.lit(chars))
-    spans = rows.filter(F.col("doc_id").isin(chosen)).select("lang", "doc_id", middle.alias("span")).distinct()
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
+    short = F.greatest(F.char_length("text"), F.lit(chars))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))
+    ids = rows.select("lang", "h", short.alias("size")).distinct().withColumn("r", first).filter(F.col("r") <= docs_per_lang)
+    chosen = {(r.lang, r.h) for r in ids.collect() if r["size"] <= chars or r.r == 1}
+    texts = rows.filter(F.col("h").isin([h for _, h in chosen])).select("lang", "h", "text").distinct()
     found: dict[str, list[str]] = {}
-    for r in sorted(spans.collect(), key=lambda r: (r.lang, r.doc_id or 0, r.span)):
-        found.setdefault(r.lang, []).append(r.span)
-    return {x: "\n".join(texts[:docs_per_lang]) for x, texts in found.items()}
+    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.h, r.text)):
+        if (r.lang, r.h) in chosen:
+            found.setdefault(r.lang, []).append(r.text)
+    return {x: "\n".join(texts) for x, texts in found.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,12 +56,46 @@ def test_phrases_against_plain_parsing():
         assert got[k].tolist() == [longest_match_phrases(folded(t), folded(samples[lang])) for t in texts]
 
 
-def test_lanes_only_close_phrases(monkeypatch):
-    samples = {"a": "abcdefghij" * 20, "b": "jihgfedcba" * 20}
+@pytest.mark.parametrize("lane", [1, 2, 7, 64, 1024])
+def test_long_texts_are_parsed_as_a_whole(monkeypatch, lane):
+    monkeypatch.setattr(language, "LANE", lane)
+    rnd = random.Random(lane)
+    samples = {"a": "abcdefghij" * 20, "b": "jihgfedcba" * 20 + " other words", "c": "".join(rnd.choice("abcde ") for _ in range(400))}
     parser = language.CrossParser(samples)
-    text = "abcdefghij" * 500
-    assert parser.phrases(*language.fold([text]))[0, 0] >= 5000 // language.LANE
-    assert parser.predict([text])[0] == ["a"]
+    texts = ["abcdefghij" * 30, "", "".join(rnd.choice("abcdefgh ") for _ in range(500)), "zzz" * 40, "a", "fghijabcde" * 11 + "x" + "abc" * 30, " ".join(["abcde"] * 60)]
+    got = parser.phrases(*language.fold(texts))
+    for k, lang in enumerate(parser.langs):
+        assert got[k].tolist() == [longest_match_phrases(folded(t).removeprefix(" "), folded(samples[lang])) if t else 0 for t in texts]
+
+
+def test_a_text_of_many_lanes_needs_few_phrases():
+    rnd = random.Random(9)
+    sample = "".join(rnd.choice("abcdefghijklmnop") for _ in range(8400))
+    assert language.CrossParser({"a": sample}).phrases(*language.fold([sample * 10]))[0, 0] == 10
+
+
+def test_many_languages_and_large_alphabets():
+    rnd = random.Random(2)
+    samples = {f"l{k:02d}": "".join(chr(0x4E00 + 300 * k + rnd.randrange(3000)) for _ in range(2500)) for k in range(30)}
+    parser = language.CrossParser(samples)
+    assert parser.keys.nbytes + parser.targets.nbytes < 64 << 20
+    texts = [samples[x][500:1500] + samples["l00"][:20] for x in parser.langs]
+    assert parser.predict(texts)[0] == parser.langs
+    got = parser.phrases(*language.fold(texts[:3]))
+    assert got[2].tolist() == [longest_match_phrases(folded(t), folded(samples["l02"])) for t in texts[:3]]
+
+
+def test_equal_languages_tie_to_the_first_name(spark):
+    samples = {"b": "some words of text", "a": "some words of text"}
+    rows = language.identify(spark.createDataFrame([(None, "words of text"), (1, "words of text"), (1, "words of text")], "doc_id long, text string"), samples).collect()
+    assert [(r.doc_id, r.lang_pred) for r in rows] == [(None, "a"), (1, "a"), (1, "a")] and len({r.score for r in rows}) == 1
+
+
+def test_learned_rows_are_whole(spark):
+    rows = [(1, "short text " * 3, "x"), (2, "long text " * 900, "x"), (3, "long " * 3000, "y"), (4, "longer " * 3000, "y"), (5, None, "x"), (6, "12", "x"), (7, "no label", None), (1, "short text " * 3, "x"), (1, "the same id", "x")]
+    got = language.learn_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(got["x"].split("\n")) == ["short text " * 3, "the same id"] and got["y"] == "long " * 3000
+    assert len(language.learn_samples(spark.createDataFrame([(k, f"text {k}", "x") for k in range(40)], "doc_id long, text string, lang string"))["x"].split("\n")) == language.SAMPLE_DOCS
 
 
 def test_language_edges(spark):
