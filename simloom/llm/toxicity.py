@@ -6,7 +6,6 @@ import functools
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm import common
+from simloom.llm import common, neardup
 
 #: Symbols of the language model: 0 a break, 1 to 26 the letters without marks, 27 any other letter.
 SYMBOLS, OTHER = 28, 27
@@ -26,11 +25,12 @@ LEET = {
 SIGNS = "".join(LEET)
 #: Costs of the channel, in natural logarithms.
 SWAP, STAR, DROP, BREAK, ONCE, TWICE, FEWER = 1.0, 2.0, 1.0, 4.0, 0.7, 1.2, 4.5
-#: Labelled documents that the lexicon is learned on at most, about; documents of its class that a feature needs; least evidence, and that of rare features.
-TRAIN_DOCS, LEAST_DOCS, LEAST_EVIDENCE, RARE_EVIDENCE = 20_000, 4, 0.6, 0.9
+#: Labelled documents that the lexicon is learned on at most, about; toxic documents that a feature needs, and least evidence.
+TRAIN_DOCS, LEAST_DOCS, LEAST_EVIDENCE = 20_000, 3, 0.3
 PREFIXES = (4, 5, 6)
-#: Features that a sample may have, as a bound for chance.
-FEATURES = 1e9
+#: Shrinkage that is tried, on inner folds of the learned rows; there, a clean document flagged counts as so many toxic ones missed.
+SHRINKAGE, FOLDS, CLEAN_COST = (10.0, 3.0, 1.0, 0.3, 0.1), 4, 4
+STEPS = 300
 #: Tokens whose restoration a worker remembers before it starts anew; this has no effect on results.
 MEMO_CAP = 400_000
 
@@ -121,12 +121,15 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest reading of a disguised token: Viterbi over its lattice, states being the last two symbols."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a disguised token: Viterbi over its lattice, states being the last two symbols.
+
+    A state holds its cost and a link to the piece and the state that it came from; of equal costs the first found stays.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     cost = model.cost
     for choices in [*lattice(token), [(" ", 0.0)]]:
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in paths.items():
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, back) in paths.items():
             for piece, extra in choices:
                 x, y, total = a, b, so_far + extra
                 for ch in piece:
@@ -135,10 +138,14 @@ def restore(token: str, model: CharModel) -> str:
                         total += cost[(x * SYMBOLS + y) * SYMBOLS + c]
                         x, y = y, c
                 best = ahead.get((x, y))
-                if best is None or (total, text + piece) < best:
-                    ahead[x, y] = (total, text + piece)
+                if best is None or total < best[0]:
+                    ahead[x, y] = (total, (back, piece))
         paths = ahead
-    return min(paths.values())[1].strip()
+    link, pieces = min(paths.values(), key=lambda found: found[0])[1], []
+    while link:
+        link, piece = link
+        pieces.append(piece)
+    return "".join(reversed(pieces)).strip()
 
 
 class Restorer:
@@ -193,20 +200,21 @@ def features(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Features that speak for a toxic document, each with the chance that its document is toxic; a score joins them by noisy or."""
+    """Features that speak for a toxic document, each with a weight; a score is the logistic of their sum and a bias."""
 
-    def __init__(self, weights: dict[str, float], floor: float = 0.01):
-        self.weights, self.floor = weights, floor
-        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
+    def __init__(self, weights: dict[str, float], bias: float = -5.0):
+        self.weights, self.bias = weights, bias
 
     def hits(self, word: str) -> tuple[tuple[str, float], ...]:
-        """The strongest feature of a word, if any."""
-        found = [(self.weights[f], f) for f in features(word) if f in self.weights]
-        return ((max(found)[1], max(found)[0]),) if found else ()
+        """The features of a word that have a weight."""
+        return tuple((f, self.weights[f]) for f in features(word) if f in self.weights)
+
+    def joined(self, found: dict[str, float]) -> float:
+        """The score of a text with these features, each counted once."""
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(found.values())))))
 
     def score(self, words) -> float:
-        strongest = dict(hit for w in words for hit in self.hits(w))
-        return 1 - (1 - self.floor) * math.prod(1 - p for p in strongest.values())
+        return self.joined(dict(hit for w in words for hit in self.hits(w)))
 
 
 def chance(k_toxic: float, k_clean: float, n_toxic: int, n_clean: int) -> float:
@@ -217,45 +225,58 @@ def chance(k_toxic: float, k_clean: float, n_toxic: int, n_clean: int) -> float:
     return share * ratio / (share * ratio + 1 - share)
 
 
-def beyond_chance(k_toxic: float, k_clean: float, n_toxic: int, n_clean: int) -> bool:
-    """The likelihood ratio of the feature's own share of toxic documents against the share of all exceeds the number of features there can be."""
-    share, n = n_toxic / max(1, n_toxic + n_clean), k_toxic + k_clean
-    if not k_toxic or share in (0, 1):
-        return False
-    gain = k_toxic * math.log(k_toxic / n / share) + (k_clean * math.log(k_clean / n / (1 - share)) if k_clean else 0)
-    return k_toxic > share * n and gain > math.log(FEATURES)
-
-
-def select(bags: list[frozenset[str]], clean: Counter, n_clean: int) -> Lexicon:
-    """The lexicon from the toxic documents' features and the clean documents' counts.
-
-    Features are taken by falling evidence, whole words and longer beginnings first among equals. One counts if so many
-    documents speak for it that no chance explains them, or if the toxic documents that no feature so far explains still
-    speak for it; so rare words that merely stand beside a toxic word stay out. A feature that clean documents have too is
-    judged by unexplained documents alone, so a beginning goes where a longer one does its work. With a word, its beginnings
-    that no clean document has come in too.
-    """
-    n = len(bags)
-    toxic = Counter(f for bag in bags for f in bag)
-    value = {f: chance(k, clean[f], n, n_clean) for f, k in toxic.items() if k >= LEAST_DOCS}
-    ranked = sorted((f for f, p in value.items() if p >= LEAST_EVIDENCE), key=lambda f: (-value[f], f[-1] != "$", -len(f), f))
-    where: dict[str, list[int]] = {f: [] for f in ranked}
-    for k, bag in enumerate(bags):
-        for f in bag:
-            if f in where:
-                where[f].append(k)
-    explained, weights = np.zeros(n, bool), {}
-    for f in ranked:
-        at = np.array(where[f])
-        left, among = int((~explained[at]).sum()), clean[f]
-        counted = left if among else len(at)
-        sure = beyond_chance(counted, among, n, n_clean) and chance(counted, among, n, n_clean) >= LEAST_EVIDENCE
-        if sure or left >= LEAST_DOCS and chance(left, among, n, n_clean) >= RARE_EVIDENCE:
-            explained[at] = True
-            weights[f] = min(chance(counted, among, n, n_clean), 0.999)
-            if f[-1] == "$":
-                weights |= {g: min(value[g], 0.999) for g in features(f[:-1])[1:] if len(g) > 5 and g in value and not clean[g] and value[g] >= LEAST_EVIDENCE}
-    return Lexicon(weights, min(0.4, n / max(1, n + n_clean) / 10))
+class Sample:
+    """Documents as sets of features: equal sets of one label and fold are one row with a count."""
+
+    def __init__(self, rows: list[tuple[int, int, tuple[str, ...], int]]):
+        """rows: (label, fold, features, number of documents)."""
+        self.names = sorted({f for _, _, bag, _ in rows for f in bag})
+        at = {f: k for k, f in enumerate(self.names)}
+        self.label, self.fold, self.n = (np.array([r[k] for r in rows], np.float64) for k in (0, 1, 3))
+        self.row = np.repeat(np.arange(len(rows)), [len(bag) for _, _, bag, _ in rows])
+        self.column = np.array([at[f] for _, _, bag, _ in rows for f in bag], np.int64)
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], len(self.label))
+
+    def fit(self, counted: np.ndarray, shrinkage: float) -> tuple[np.ndarray, float]:
+        """Weights that are never negative and a bias: logistic regression on the rows that count, by accelerated projected steps."""
+        n = self.n * counted
+        share = (n * self.label).sum() / max(1.0, n.sum())
+        w, b = np.zeros(len(self.names)), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        if not 0 < share < 1:
+            return w, b
+        v, top = np.ones(len(self.names) + 1), 1.0
+        for _ in range(20):  # the largest eigenvalue of the curvature's bound
+            r = n * (self.sums(v[:-1]) + v[-1])
+            v = np.append(np.bincount(self.column, r[self.row], len(self.names)), r.sum())
+            top = np.linalg.norm(v)
+            v /= max(top, 1e-12)
+        rate = 1 / (0.3 * top + shrinkage)
+        z, zb, t = w, b, 1.0
+        for _ in range(STEPS):
+            error = n * (1 / (1 + np.exp(-np.clip(self.sums(z) + zb, -30, 30))) - self.label)
+            ahead = np.maximum(0, z - rate * (np.bincount(self.column, error[self.row], len(self.names)) + shrinkage * z))
+            ahead_b, nxt = zb - rate * error.sum(), (1 + math.sqrt(1 + 4 * t * t)) / 2
+            z, zb = ahead + (t - 1) / nxt * (ahead - w), ahead_b + (t - 1) / nxt * (ahead_b - b)
+            w, b, t = ahead, ahead_b, nxt
+        return w, b
+
+    def learn(self) -> Lexicon:
+        """The lexicon whose shrinkage does best on inner folds, each scored by what the others taught; ties to more shrinkage."""
+
+        def loss(shrinkage: float) -> float:
+            wrong = 0.0
+            for fold in range(FOLDS):
+                apart = self.fold == fold
+                w, b = self.fit(~apart, shrinkage)
+                toxic = self.sums(w) + b >= 0
+                wrong += (self.n * apart * (toxic != self.label) * np.where(toxic, CLEAN_COST, 1)).sum()
+            return wrong
+
+        best = min(SHRINKAGE, key=loss) if len(self.names) else SHRINKAGE[0]
+        w, b = self.fit(np.ones(len(self.label)), best)
+        return Lexicon({f: x for f, x in zip(self.names, w.tolist(), strict=True) if x > 0}, min(b, -0.1))
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CharModel:
@@ -278,42 +299,42 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def learn_lexicon(sample: DataFrame, model: CharModel) -> Lexicon:
     """The lexicon from a bounded labelled sample (doc_id, text, label).
 
-    Copies would let chance words look telling, so of documents with the same least word hashes one counts. First the toxic
-    documents' features are counted, then those of clean documents that can matter.
+    Copies would let chance words look telling, so of documents with the same four least word 5-gram hashes one counts. First
+    the toxic documents' features are counted, then those of clean documents that can matter; features that tell the two
+    apart are weighed together. Everything here is of the sample's size.
     """
-    sample = common.cut(sample)
+    sample, context = common.cut(sample), sample.sparkSession.sparkContext
 
-    def mark(label: int, wanted: frozenset | None):
+    def mark(label: int, wanted):
         def run(batches):
             restorer = Restorer(model)
             for part, texts in common.text_slices(batches):
                 prints, bags = [], []
-                for is_label, text in zip(part.column(2).to_pylist(), texts, strict=True):
-                    if is_label == label:
-                        words = restorer.words(text)
-                        least = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in words)[:4]
-                        prints.append(",".join(map(str, least)))
-                        mine = {f for w in words for f in features(w)}
-                        bags.append(sorted(mine if wanted is None else mine & wanted))
+                mine = [t for y, t in zip(part.column(2).to_pylist(), texts, strict=True) if y == label]
+                for text, grams in zip(mine, neardup.gram_sets(mine), strict=True):
+                    prints.append(",".join(map(str, grams[:4].tolist())))
+                    found = {f for w in restorer.words(text) for f in features(w)}
+                    bags.append(sorted(found if wanted is None else found & wanted.value))
                 yield pa.RecordBatch.from_arrays([pa.array(prints, pa.string()), pa.array(bags, pa.list_(pa.string()))], ["print", "bag"])
 
         return common.cut(sample.mapInArrow(run, "print string, bag array<string>").groupBy("print").agg(F.min("bag").alias("bag")))
 
-    toxic = mark(1, None)
-    counts = toxic.select(F.explode("bag").alias("f")).groupBy("f").count().filter(F.col("count") >= LEAST_DOCS)
-    wanted = frozenset(r.f for r in counts.collect())
-    clean_bags = mark(0, wanted)
-    n_clean = clean_bags.count()
-    clean = Counter({r.f: r["count"] for r in clean_bags.select(F.explode("bag").alias("f")).groupBy("f").count().collect()})
-    n_toxic = toxic.count()
-    telling = F.broadcast(toxic.sparkSession.createDataFrame([(f,) for f in _telling(counts, clean, n_toxic, n_clean)], "f string"))
-    rows = toxic.select("print", F.explode_outer("bag").alias("f")).join(telling, "f", "left_semi").groupBy("print").agg(F.collect_set("f").alias("bag"))
-    bags = [frozenset(r.bag) for r in rows.collect()]
-    return select(bags + [frozenset()] * (n_toxic - len(bags)), clean, n_clean)
+    tally = lambda bags: Counter({r.f: r.n for r in bags.select(F.explode("bag").alias("f")).groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()})
+    toxic, least = mark(1, None), LEAST_DOCS
+    n_toxic, seen = toxic.count(), tally(toxic)
+    clean, least = mark(0, context.broadcast(frozenset(seen))), 1
+    n_clean, among = clean.count(), tally(clean)
+    telling = context.broadcast(frozenset(f for f, k in seen.items() if chance(k, among[f], n_toxic, n_clean) >= LEAST_EVIDENCE))
 
+    def reduce(batches):
+        for batch in batches:
+            bags = [[f for f in bag if f in telling.value] for bag in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.string()))], ["label", "fold", "bag"])
 
-def _telling(counts: DataFrame, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
-    return sorted(r.f for r in counts.collect() if chance(r["count"], clean[r.f], n_toxic, n_clean) >= LEAST_EVIDENCE)
+    fold = F.pmod(F.xxhash64("print", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    both = toxic.select(F.lit(1).alias("label"), fold, "bag").unionByName(clean.select(F.lit(0).alias("label"), fold, "bag"))
+    rows = both.mapInArrow(reduce, "label int, fold int, bag array<string>").groupBy("label", "fold", "bag").agg(F.count("*").alias("n"))
+    return Sample(sorted((r.label, r.fold, tuple(r.bag), r.n) for r in rows.collect())).learn()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
@@ -354,7 +375,7 @@ def score_toxicity(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: st
                         found.update(got)
                 for w in restorer.spaced(text):
                     found.update(lexicon.hits(w))
-                scores.append(1 - (1 - lexicon.floor) * math.prod(1 - found[f] for f in sorted(found)))
+                scores.append(lexicon.joined(found))
             columns = [part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.string()))] * with_words, ["doc_id", "score", "predicted"] + ["words"] * with_words)
 

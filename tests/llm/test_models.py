@@ -231,6 +231,42 @@ def test_trigrams_against_a_loop():
     assert toxicity.trigram_counts(texts).tolist() == want.tolist()
 
 
+def test_long_tokens_take_time_in_proportion(char_model):
+    import time
+
+    def seconds(n):
+        token, began = "1d10t-" * n, time.process_time()
+        assert len(toxicity.restore(token, char_model)) > 3 * n
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(4000) < 24 * max(seconds(500), 0.01)
+
+
+def test_weights_are_a_constrained_minimum():
+    rnd = random.Random(3)
+    rows = [(int("t" in bag or rnd.random() < 0.05), rnd.randrange(4), tuple(sorted(bag)), 1) for bag in (set(rnd.sample("tabcd", rnd.randrange(4))) for _ in range(400))]
+    sample = toxicity.Sample(rows)
+    w, b = sample.fit(np.ones(len(rows)), 1.0)
+    loss = lambda w, b: (np.logaddexp(0, -(sample.sums(w) + b) * (2 * sample.label - 1)) * sample.n).sum() + 0.5 * (w**2).sum()
+    assert (w >= 0).all() and w[sample.names.index("t")] == w.max() > 2
+    for k in range(len(w)):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] = max(0, moved[k] + step)
+            assert loss(moved, b) >= loss(w, b) - 1e-3
+    assert abs(loss(w, b + 0.05) - loss(w, b)) < 1 and loss(w, b + 0.3) > loss(w, b) < loss(w, b - 0.3)
+
+
+def test_scores_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "good plain words"), (1, "good plain words"), (1, "good plain words"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for scored in (toxicity.score_toxicity(df, toxicity.fit(df, labels, lambda c: F.lit(True))), quality.classify(df, quality.fit(df, labels, lambda c: F.lit(True)))):
+        rows = scored.collect()
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "2", "None"]
+        assert len({r.score for r in rows if r.doc_id != 2}) == 1
+
+
 def test_toxicity_learns_words_families_and_disguises(spark):
     rnd = random.Random(5)
     plain = [f"wo{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
