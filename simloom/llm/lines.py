@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from simloom.llm import common
 
 LEAST_CODE_POINTS = 10
+#: A line on more than one of so many rows (and more than HOT_ROWS) is hot. Hot lines are sought among about SOUGHT_ROWS rows.
+HOT_SHARE, HOT_ROWS, SOUGHT_ROWS = 1000, 100, 4_000_000
 #: The characters that are stripped, and the letters that are lowered.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,50 +21,68 @@ def line_key(line):
     return F.when(F.octet_length(line) == F.char_length(line), F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
+def hot_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """(hash, slices) of the hashes on a large share of rows, at most about HOT_SHARE of them whatever n, the number of rows.
+
+    They only decide how rows are dealt, so where there are many rows they are sought on a part of them.
+    """
+    every = max(1, n // SOUGHT_ROWS)
+    part = rows if every == 1 else rows.filter(F.pmod(F.xxhash64("hash", "doc_id", "pos"), F.lit(every)) == 0)
+    bound = max(HOT_ROWS, n // HOT_SHARE) / every
+    counts = part.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > bound)
+    return counts.select("hash", F.ceil(F.col("n") / bound).cast("int").alias("slices"))
+
+
+def first_documents(rows: DataFrame) -> DataFrame:
+    """rows (hash, doc_id, text_hash, pos) with first_doc, the smallest document that holds the hash.
+
+    Rows are dealt by ranges of (hash, slice) and sorted by document and position within; a window streams over that order,
+    with no further exchange or sort. Only hot hashes have more than one slice, so one hash may fill many partitions; their
+    first documents come from sums of each task and are broadcast.
+    """
+    hot = common.cut(hot_hashes(rows, rows.count()))
+    anywhere = rows.join(F.broadcast(hot), "hash").groupBy("hash").agg(F.min("doc_id").alias("first_anywhere"))
+    sliced = rows.join(F.broadcast(hot), "hash", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"), F.lit(0))).drop("slices")
+    ranged = sliced.repartitionByRange("hash", "slice").sortWithinPartitions("hash", "slice", "doc_id", "pos")
+    stream = Window.partitionBy("hash", "slice").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = ranged.withColumn("first_here", F.first("doc_id").over(stream)).join(F.broadcast(anywhere), "hash", "left")
+    return firsts.select("hash", "doc_id", "text_hash", "pos", F.coalesce("first_anywhere", "first_here").alias("first_doc"))
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CODE_POINTS) -> DataFrame:
-    """Which lines of which documents go: doc_id, text_hash, n_dropped and drops, words of 64 lines each.
+    """Which lines of which documents stay: doc_id, text_hash, n_dropped, keeps.
 
-    Line keys become hashes of 128 bits, dealt by range of (hash, document, position), so that one hash may fill many
-    partitions. Within a partition a sorted stream gives each hash's first document; only hashes at the edges of partitions,
-    at most one more than there are partitions, can have an earlier document elsewhere, and these few are broadcast. Lines of
-    later documents are collected as bitmaps: a word w holds bit p for the line 64 w + p that goes; other lines stay.
-    Documents that lose nothing have no row.
+    Line keys become hashes of 128 bits, dealt by range with documents and positions in order, and each hash's first document
+    is streamed (see first_documents). keeps is a compressed bitmap, from numbers of words to words: bit p of word w is set
+    where line 64 w + p stays (and past the last line). A word that is not there has all bits set, and a document that loses
+    no line has no row.
     """
     text = common.id_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least)
     rows = keyed.select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "text_hash", "pos")
     rows = common.cut(rows, gather=True)  # the sampling for ranges reads them a second time
-    ranged = rows.repartitionByRange("hash", "doc_id", "pos").withColumn("part", F.spark_partition_id())
-    dealt = common.cut(ranged)
-    edges = dealt.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
-    edges = edges.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("hash"))
-    crossing = edges.groupBy("hash").count().filter("count > 1").select("hash")
-    earliest = dealt.join(F.broadcast(crossing), "hash").groupBy("hash").agg(F.min("doc_id").alias("first_anywhere"))
-    stream = Window.partitionBy("part", "hash").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    firsts = dealt.withColumn("first_here", F.first("doc_id").over(stream))
-    later = firsts.join(F.broadcast(earliest), "hash", "left").filter(F.col("doc_id") > F.least("first_here", F.coalesce("first_anywhere", "first_here")))
+    later = first_documents(rows).filter("doc_id > first_doc")
     words = later.groupBy("doc_id", "text_hash", F.shiftright("pos", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits")
+        F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos & 63)"))).alias("bits")
     )
     return words.groupBy("doc_id", "text_hash").agg(
-        F.sum(F.bit_count("bits")).alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops")
+        F.sum(64 - F.bit_count("bits")).alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keeps")
     )
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns _n_lines, _n_dropped and _kept (the text of the lines that stay)."""
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
-    drops = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n"), F.col("drops").alias("_drops"))
-    joined = marked.join(drops.hint("shuffle_hash"), ["_id", "_hash"], "left")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    dense = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(lines) - 1, 6)), lambda w: F.coalesce(F.try_element_at("_drops", w), F.lit(0).cast("long")))
-    joined = joined.withColumn("_n_lines", n_lines.cast("long")).withColumn("_bits", F.when(F.col("_n").isNotNull(), dense))
-    stays = lambda line, p: F.call_function("shiftright", F.get("_bits", F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(1) == 0
-    kept = F.when(F.col("_n").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    return joined.withColumns({"_n_dropped": F.coalesce("_n", F.lit(0)).cast("long"), "_kept": kept}).drop("_id", "_hash", "_n", "_drops", "_bits")
+    """row (a struct of all columns of docs), n_lines, n_dropped and kept (the text of the lines that stay)."""
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = marked.join(bitmaps.hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
+    lines = F.split("text", "\n", -1)
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    whole = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(lines) - 1, 6)), lambda w: F.coalesce(F.try_element_at("keeps", w), F.lit(-1).cast("long")))
+    joined = joined.withColumn("bits", F.when(F.col("n_dropped").isNotNull(), whole))
+    stays = lambda line, p: F.call_function("shiftright", F.get("bits", F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(1) == 1
+    kept = F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    return joined.select("row", n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CODE_POINTS) -> DataFrame:
@@ -74,7 +94,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = common.id_text(docs, id_col, text_col)
     out = apply_bitmaps(text, keep_bitmaps(text, least=least))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept").alias("kept_text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
 
 
 #: DuckDB SQL of the query.

@@ -85,6 +85,29 @@ def test_long_documents_and_hot_lines(spark):
     assert got == sorted(brute_lines(docs))
 
 
+def test_hot_lines_fill_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_ROWS", 5)
+    monkeypatch.setattr(lines, "HOT_SHARE", 50)
+    docs = [(k % 90, "\n".join(["one hot line of all", f"a line of {k % 45} documents", "short", "one hot line of all "])) for k in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in lines.dedup_lines(df).collect()) == sorted(brute_lines(docs))
+
+
+def test_lines_are_dealt_once(spark):
+    rows = spark.createDataFrame([(bytes([k % 7]) * 16, k, k, 0) for k in range(50)], "hash binary, doc_id long, text_hash long, pos int")
+    plan = lines.first_documents(rows)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("rangepartitioning")]
+    assert above.count("Window") == 1 and "hashpartitioning" not in above.split("BroadcastExchange")[0] and above.split("Window")[1].count("Sort ") == 1
+
+
+def test_bitmaps_name_the_lines_that_stay(spark):
+    docs = [(1, "\n".join(f"line number {k} of it" for k in range(130))), (2, "\n".join(f"line number {k} of it" if k in (0, 70, 129) else f"another line {k}" for k in range(130))), (3, "alone in the table")]
+    rows = lines.keep_bitmaps(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_dropped) for r in rows] == [(2, 3)]
+    dropped = {64 * w + p for w, bits in rows[0].keeps.items() for p in range(64) if not bits >> p & 1}
+    assert dropped == {0, 70, 129}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
