@@ -37,11 +37,11 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document has; n_chars follows. A document that loses every line stays, empty."""
     out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
-    changed = F.col("_n_dropped") > 0
-    texts = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        texts["n_chars"] = F.when(changed, F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(texts).select(*docs.columns)
+    changed, row = F.col("n_dropped") > 0, {c: F.col(f"row.`{c}`") for c in docs.columns}
+    row["text"] = F.when(changed, F.col("kept")).otherwise(row["text"])
+    if "n_chars" in row:
+        row["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return out.select(*[x.alias(c) for c, x in row.items()])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
