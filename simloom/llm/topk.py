@@ -15,6 +15,8 @@ SCALE = 1024
 BLOCK_ROWS = 128
 #: Rows of one partition of the scored table, about, and queries that one pass carries at most.
 PART_ROWS, PASS_QUERIES = 8192, 4096
+#: Rows, about, whose k-th scores are shared with all partitions before the search of the whole table.
+SEED_ROWS = 8192
 
 
 class Block:
@@ -36,15 +38,16 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def search_blocks(queries: np.ndarray, query_ids: np.ndarray, blocks: list[Block], k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def search_blocks(queries: np.ndarray, query_ids: np.ndarray, blocks: list[Block], k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """The k best (score desc, id asc) of all blocks for each query, never its own id: (scores, ids, blocks scored).
 
     A query's bound on a block is the sum over terms of the query weight times the block's maximum (for negative weights, its
-    minimum). Each query takes its blocks by falling bound; once the next bound is below its k-th score, it is done. Missing
-    places hold the lowest score and id -1.
+    minimum). Each query takes its blocks by falling bound; once the next bound is below its k-th score, or below its floor (a
+    k-th score that is known already), it is done. Missing places hold the lowest score and id -1.
     """
     n = len(queries)
     lowest = np.iinfo(np.int64).min
+    floors = np.full(n, lowest) if floors is None else floors
     scores, ids = np.full((n, k), lowest), np.full((n, k), -1, np.int64)
     if not blocks or not n:
         return scores, ids, 0
@@ -55,7 +58,8 @@ def search_blocks(queries: np.ndarray, query_ids: np.ndarray, blocks: list[Block
     alive, scored = np.arange(n), 0
     for turn in range(len(blocks)):
         block_at = order[alive, turn]
-        keep = (ids[alive, k - 1] < 0) | (bounds[alive, block_at] >= scores[alive, k - 1])
+        bound = bounds[alive, block_at]
+        keep = ((ids[alive, k - 1] < 0) | (bound >= scores[alive, k - 1])) & (bound >= floors[alive])
         alive, block_at = alive[keep], block_at[keep]
         if not len(alive):
             break
@@ -116,16 +120,22 @@ def top_k(
     id are candidates each, but ask once (the first by components), and find none of their own id. Vectors of unequal length
     are filled up with zeros.
 
+    Components beyond 2**62 and scores beyond the range of long are held at its ends.
+
     The quantized table is dealt by ranges of ids and kept in the shared folder. Every pass carries at most about
-    pass_queries queries (a bounded number of rows of one vector each) to all partitions; each partition prunes block by
-    block and hands on k rows a query, and a window picks the k best of those.
+    pass_queries queries (a bounded number of rows of one vector each) to all partitions. First a part of about SEED_ROWS rows
+    is searched: its k-th scores are floors for all partitions. Each partition prunes block by block and hands on at most k
+    rows a query, none under the floor, and a window picks the k best of those.
     """
     spark = vectors.sparkSession
     rows = quantized(vectors, id_col, vector_col)
     n, = rows.agg(F.count("*")).first()
     dealt = common.cut(rows.repartitionByRange(max(1, -(-n // part_rows)), "vec_id").sortWithinPartitions("vec_id"))
     asking = dealt.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    passes = max(1, -(-asking.count() // pass_queries))
+    passes, every = max(1, -(-asking.count() // pass_queries)), n // SEED_ROWS
+    seed = dealt.filter(F.pmod(F.xxhash64("vec_id", F.lit("seed")), F.lit(every)) == 0) if every > 1 else None
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    search = lambda table, sent: table.mapInArrow(_searcher(sent, k, block_rows), "query_id long, vec_id long, score long").withColumn("rank", best).filter(F.col("rank") <= k)
     results = []
     for turn in range(passes):
         batch = asking.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == turn).orderBy("vec_id").collect()
@@ -134,10 +144,11 @@ def top_k(
         queries = np.zeros((len(batch), width), np.int64)
         for at, r in enumerate(batch):
             queries[at, : len(r.q)] = r.q
-        sent = spark.sparkContext.broadcast((query_ids, queries))
-        part = dealt.mapInArrow(_searcher(sent, k, block_rows), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        floors = np.full(len(batch), np.iinfo(np.int64).min)
+        if seed is not None:
+            known = {r.query_id: r.score for r in search(seed, spark.sparkContext.broadcast((query_ids, queries, floors))).filter(F.col("rank") == k).collect()}
+            floors = np.array([known.get(x, np.iinfo(np.int64).min) for x in query_ids.tolist()], np.int64)
+        part = search(dealt, spark.sparkContext.broadcast((query_ids, queries, floors))).select("query_id", "rank", "vec_id", "score")
         if passes > 4:
             path = common.scratch_path(spark, "topk")
             part.write.parquet(path)
@@ -151,13 +162,14 @@ def top_k(
 
 def _searcher(sent, k, block_rows):
     def run(batches):
-        query_ids, queries = sent.value
+        query_ids, queries, floors = sent.value
         best_scores, best_ids, held, held_ids = None, None, [], []
 
         def flush(ids, rows):
             nonlocal best_scores, best_ids
             blocks = [Block(ids[a : a + block_rows], rows[a : a + block_rows]) for a in range(0, len(ids), block_rows)]
-            scores, found, _ = search_blocks(queries, query_ids, blocks, k)
+            known = floors if best_scores is None else np.maximum(floors, best_scores[:, k - 1])
+            scores, found, _ = search_blocks(queries, query_ids, blocks, k, known)
             if best_scores is not None:
                 scores, found = np.concatenate([best_scores, scores], 1), np.concatenate([best_ids, found], 1)
                 at = _order(scores, found)[:, :k]
@@ -173,7 +185,7 @@ def _searcher(sent, k, block_rows):
         if held:
             flush(np.concatenate(held_ids), np.concatenate(held))
         if best_scores is not None and len(query_ids):
-            there = best_ids >= 0
+            there = (best_ids >= 0) & (best_scores >= floors[:, None])
             out = pd.DataFrame({"query_id": np.broadcast_to(query_ids[:, None], there.shape)[there], "vec_id": best_ids[there], "score": best_scores[there]})
             yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
@@ -186,10 +198,10 @@ WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, min(v) AS v FROM q WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
-  FROM q a JOIN q b ON a.vec_id <> b.vec_id
-  WHERE a.vec_id % 100 = 0),
+  FROM a JOIN q b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

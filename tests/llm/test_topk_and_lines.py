@@ -47,7 +47,32 @@ def test_bounds_prune_blocks():
     assert scored == 1 and ids.tolist() == [[30, 31]] and scores.tolist() == [[1800, 1800]]
 
 
-def test_huge_components_stay_exact(spark):
+def test_shared_floors_prune_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    rows = [(k, (centres[k // 50] + 0.05 * rng.normal(size=8)).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, topk.top_k(df, 5, 20, block_rows=8, part_rows=60).collect()))
+    monkeypatch.setattr(topk, "SEED_ROWS", 60)
+    assert sorted(map(tuple, topk.top_k(df, 5, 20, block_rows=8, part_rows=60).collect())) == want
+    q = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    blocks = [topk.Block(np.arange(a, a + 10), q[a : a + 10]) for a in range(0, 300, 10)]
+    asking = np.arange(0, 300, 20)
+    scores, ids, scored = topk.search_blocks(q[asking], asking, blocks, 5)
+    again = topk.search_blocks(q[asking], asking, blocks, 5, scores[:, 4])
+    assert (again[0] == scores).all() and (again[1] == ids).all() and again[2] <= scored < 0.5 * len(asking) * len(blocks)
+
+
+def test_rows_that_repeat_an_id_match_the_sql(spark, tmp_path):
+    rows = [(100, [0.5, 0.1]), (100, [0.25, 0.7]), (100, [0.25, 0.7]), (1, [0.3, 0.3]), (1, [0.3, 0.3]), (200, [0.0, 0.0]), (7, None), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(con.execute(topk.TOP_K_SQL).fetchall())
+
+
+def test_huge_components_are_held_at_the_ends(spark):
     df = spark.createDataFrame([(0, [3e12, 1.0]), (1, [3e12, 2.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.score for r in topk.top_k(df, 3, 100).collect()}
     assert got[1] == 2**63 - 1 and got[2] < 0
