@@ -136,8 +136,9 @@ def best_fit(
 ) -> DataFrame:
     """Pack rows with a length into sequences by vector best fit; adds sequence_id and offset.
 
-    Rows are dealt by a hash of seed_columns to groups of about group_pieces rows, which are packed apart, longest first; so
-    memory is bounded and the loss is at most one sequence in part for each group. max_documents and max_attention (the
+    Rows are numbered and dealt by a hash of the number to groups of about group_pieces rows, so that rows alike in all
+    columns are spread too; groups are packed apart, longest first, ties by seed_columns. So memory is bounded and the loss is
+    at most one sequence in part for each group. items should be cheap and stable to read again. max_documents and max_attention (the
     sum of squared lengths) bind only if given. A sequence's rows follow one another without gaps from offset 0.
     """
     groups = max(1, -(-items.count() // group_pieces))
@@ -151,7 +152,7 @@ def best_fit(
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf.drop(columns="_group")
 
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64(*seed_columns), F.lit(groups)))
+    dealt = items.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     names = [f"{c} {t}" for c, t in items.dtypes] + ["sequence_id long", "offset long"]
     return dealt.groupBy("_group").applyInPandas(pack, ", ".join(names))
 
