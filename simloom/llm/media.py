@@ -15,6 +15,12 @@ from simloom.llm import common
 
 #: Bytes of one row of stored samples: 64 pixels of three channels.
 ROW_BYTES, ROW_PIXELS = 192, 64
+#: Texts of more rows than this are kept as BMP, the others as PPM.
+PPM_ROWS = 8
+#: Side of a tile, and tiles that a resized image has at most.
+TILE, MOST_TILES = 64, 4
+#: Rows that are integrated at once.
+BAND_ROWS = 16384
 
 
 def _netpbm(data: bytes) -> np.ndarray:
@@ -102,11 +108,12 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return (77 * p[..., 0] + 150 * p[..., 1] + 29 * p[..., 2]) >> 8
 
 
-def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area under each target pixel, edges weighted by their share, from one integral image."""
-    rows, cols = plane.shape
-    total = np.zeros((rows + 1, cols + 1))
-    np.cumsum(np.cumsum(plane, 0, dtype=np.float64), 1, out=total[1:, 1:])
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean luma of the area under each target pixel, edges weighted by their share, from an integral image.
+
+    The integral image is made in bands of BAND_ROWS rows; of it, only the rows at the target's edges are kept.
+    """
+    rows, cols = pixels.shape[:2]
 
     def at(edges, size):
         low = np.minimum(edges.astype(np.int64), size - 1)
@@ -114,14 +121,23 @@ def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
 
     y, fy = at(np.linspace(0, rows, height + 1), rows)
     x, fx = at(np.linspace(0, cols, width + 1), cols)
-    by_row = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
+    upper, lower, so_far = np.zeros((height + 1, cols + 1)), np.zeros((height + 1, cols + 1)), np.zeros(cols + 1)
+    for top in range(0, rows, BAND_ROWS):
+        plane = grey(pixels[top : top + BAND_ROWS])
+        total = np.zeros((len(plane) + 1, cols + 1))
+        np.cumsum(np.cumsum(plane, 0, dtype=np.float64), 1, out=total[1:, 1:])
+        total += so_far
+        mine = np.flatnonzero((y >= top) & (y < top + len(plane)))
+        upper[mine], lower[mine] = total[y[mine] - top], total[y[mine] - top + 1]
+        so_far = total[-1].copy()
+    by_row = upper * (1 - fy)[:, None] + lower * fy[:, None]
     both = by_row[:, x] * (1 - fx) + by_row[:, x + 1] * fx
     return np.diff(np.diff(both, axis=0), axis=1) * (height * width / (rows * cols))
 
 
-def difference_hash(plane: np.ndarray, size: int = 8) -> int:
+def difference_hash(pixels: np.ndarray, size: int = 8) -> int:
     """Bits of a size x size comparison of neighbours in a row, the first in the highest bit; equal neighbours give 0."""
-    small = np.round(area_resize(plane, size, size + 1), 6)
+    small = np.round(area_resize(pixels, size, size + 1), 6)
     bits = (small[:, 1:] > small[:, :-1]).ravel()
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
@@ -137,40 +153,39 @@ def npy_tiles(pixels: np.ndarray, side: int = 64) -> list[bytes]:
 
 
 def store(text: str) -> tuple[bytes, int]:
-    """(PPM file of a text's padded UTF-8 bytes as rows of 64 pixels, unpadded size)."""
+    """(PPM or BMP file of a text's padded UTF-8 bytes as rows of 64 pixels, unpadded size)."""
     data = text.encode("utf-8")
     rows = max(1, -(-len(data) // ROW_BYTES))
-    payload = np.frombuffer(data.ljust(rows * ROW_BYTES, b" "), np.uint8)
-    return encode_ppm(payload.reshape(rows, ROW_PIXELS, 3)), len(data)
+    pixels = np.frombuffer(data.ljust(rows * ROW_BYTES, b" "), np.uint8).reshape(rows, ROW_PIXELS, 3)
+    return (encode_ppm if rows <= PPM_ROWS else encode_bmp)(pixels), len(data)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int | None = None) -> DataFrame:
-    """Store each whole text as a PPM image, read it back, and derive digests and a difference hash.
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, with_files: bool = False) -> DataFrame:
+    """Store each whole text as a PPM or BMP image, read it back, and derive digests, NPY tiles and a difference hash.
 
-    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with tile
-    set also media (the file) and tiles (area-resized to at most that many rows, as NPY files). A null or empty text is one
-    row of blanks; repeated rows give equal values; null ids stay; an empty table gives an empty one. A text takes about
-    forty times its size in memory while its integral image is made, one text at a time.
+    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and tiles (the
+    luma, area-resized to at most tile columns and MOST_TILES times tile rows, as NPY files of at most tile x tile), and
+    with_files also media (the file). A null or empty text is one row of blanks; repeated rows give equal values; null ids
+    stay; an empty table gives an empty one. A text takes a few times its size in memory, one text at a time.
     """
 
     def run(batches):
         for part, texts in common.text_slices(batches):
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in kinds]
             for text in texts:
                 media, n = store(text)
                 pixels = decode_image(media)
                 payload = pixels.tobytes()
-                plane = grey(pixels)
-                row = [n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"dhash:{difference_hash(plane):016x}"]
-                if tile:
-                    small = area_resize(plane, min(tile, plane.shape[0]), min(tile, plane.shape[1]))
-                    row += [media, npy_tiles(np.rint(small).astype(np.uint8), tile)]
+                small = area_resize(pixels, min(MOST_TILES * tile, pixels.shape[0]), min(tile, pixels.shape[1]))
+                row = [
+                    n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(),
+                    f"dhash:{difference_hash(pixels):016x}", npy_tiles(np.rint(small).astype(np.uint8), tile), media,
+                ]
                 for column, x in zip(out, row, strict=False):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.binary())]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tiles"]
-            keep = 9 if tile else 7
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(out[:keep], kinds, strict=False))], ["doc_id", *names[:keep]])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return common.id_text(docs, id_col, text_col).mapInArrow(run, schema + ", media binary, tiles array<binary>" * bool(tile))
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tiles"] + ["media"] * with_files
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary())] + [pa.binary()] * with_files
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>"
+    return common.id_text(docs, id_col, text_col).mapInArrow(run, schema + ", media binary" * with_files)

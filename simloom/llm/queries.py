@@ -54,7 +54,9 @@ def op9_token_counts(spark, sf_dir):
 
 
 def op10_media_columns(spark, sf_dir):
-    return media.text_media(table(spark, sf_dir, "documents"))
+    found = media.text_media(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.to_binary(F.array_join(F.transform("tiles", F.hex), ""), F.lit("hex")), 256)
+    return found.withColumns({"n_tiles": F.size("tiles"), "tiles_sha256": digest}).drop("tiles")
 
 
 QUERIES = {

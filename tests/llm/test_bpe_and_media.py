@@ -114,6 +114,64 @@ def test_packing(spark):
     assert tokens.pack_documents(df.limit(0), path).count() == 0
 
 
+def plain_best_fit(items, capacities, rule):
+    """The bin of each item by a plain loop over all bins."""
+    room, out = [], []
+    for item in items:
+        d = [x / c for x, c in zip(item, capacities, strict=True)]
+        best = None
+        for k, r in enumerate(room):
+            left = [a - b for a, b in zip(r, d, strict=True)]
+            if min(left) < -1e-12:
+                continue
+            if rule == "norm":
+                cost = sum(w * x * x for w, x in zip((1.0, 0.05, 0.2), left, strict=True))
+            else:
+                cost = -sum(w * a * b for w, a, b in zip((1.0, 0.05, 0.2), r, d, strict=True)) / max(sum(w * a * a for w, a in zip((1.0, 0.05, 0.2), r, strict=True)), 1e-12)
+            if best is None or cost < best[0] - 1e-12:
+                best = (cost, k, left)
+        if best is None:
+            room.append([1 - x for x in d])
+            out.append(len(room) - 1)
+        else:
+            room[best[1]] = best[2]
+            out.append(best[1])
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacities", [(100, 100, 10000), (100, 4, 10000), (100, 100, 4000), (100, 3, 3700)])
+def test_best_fit_against_a_plain_loop(rule, capacities):
+    n = np.sort(np.random.default_rng(sum(capacities)).integers(1, 60, 300))[::-1]
+    items = np.stack([n, np.ones_like(n), n * n], 1)
+    assert tokens.VectorBins(capacities, rule=rule).pack(items).tolist() == plain_best_fit(items.tolist(), capacities, rule)
+
+
+def test_rows_alike_are_spread_over_groups(spark):
+    rows = [(None, 0, 10)] * 600 + [(k, 0, 10) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(4).checkpoint()
+    got = tokens.best_fit(df, 100, group_pieces=100, max_documents=8).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(got) == 620 and len(per) == 7 and max(map(len, per.values())) < 160
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r.offset)
+    assert all(sorted(x) == list(range(0, 10 * len(x), 10)) and len(x) <= 8 for x in bins.values())
+
+
+def test_null_and_repeated_ids(spark):
+    texts = [(None, "some text here"), (1, "some text here"), (1, "some text here"), (2, None), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    byte, word = (public_tokenizers.path(f) for f in FILES)
+    for out in (tokens.encode_decode(df, byte), tokens.token_counts(df, byte), media.text_media(df), tokens.pack_documents(df, word)):
+        rows = out.collect()
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "2", "None", "None"]
+        same = [c for c in out.columns if c not in ("doc_id", "sequence_id", "offset")]
+        assert len({tuple(str(r[c]) for c in same) for r in rows}) == 2
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     rng = np.random.default_rng(3)
@@ -149,6 +207,21 @@ def test_area_resize_against_fine_grid(rows, cols, height, width):
     assert np.allclose(media.area_resize(plane, height, width), want)
 
 
+@pytest.mark.parametrize("band", [1, 3, 7])
+def test_bands_change_no_pixel(monkeypatch, band):
+    pixels = np.random.default_rng(band).integers(0, 256, (23, 9, 3), dtype=np.uint8)
+    want = media.area_resize(pixels, 5, 4)
+    monkeypatch.setattr(media, "BAND_ROWS", band)
+    assert np.allclose(media.area_resize(pixels, 5, 4), want) and media.area_resize(pixels, 23, 9) == pytest.approx(media.grey(pixels))
+
+
+def test_both_formats_are_written_and_read():
+    for rows, magic in ((1, b"P6"), (media.PPM_ROWS, b"P6"), (media.PPM_ROWS + 1, b"BM"), (300, b"BM")):
+        text = "".join(chr(33 + k % 90) for k in range(192 * rows - 5))
+        data, n = media.store(text)
+        assert data[:2] == magic and n == len(text) and media.decode_image(data).tobytes() == text.encode() + b" " * 5
+
+
 def test_tiles_and_hash():
     plane = np.arange(70 * 65, dtype=np.uint8).reshape(70, 65)
     tiles = [np.load(io.BytesIO(t)) for t in media.npy_tiles(plane, 64)]
@@ -159,7 +232,7 @@ def test_tiles_and_hash():
 
 def test_text_media(spark):
     texts = [*EDGES, "x" * 192, "y" * 193, EDGES[5]]
-    rows = {r.doc_id: r for r in media.text_media(frame(spark, texts, "feature string, media string"), tile=32).collect()}
+    rows = {r.doc_id: r for r in media.text_media(frame(spark, texts, "feature string, media string"), tile=32, with_files=True).collect()}
     for k, text in enumerate(texts):
         data = (text or "").encode()
         payload = data.ljust(max(1, -(-len(data) // 192)) * 192)
@@ -167,5 +240,8 @@ def test_text_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
         assert media.decode_image(bytes(r.media)).tobytes() == payload and r.tiles
+        small = np.concatenate([np.load(io.BytesIO(bytes(t))) for t in r.tiles])
+        pixels = media.decode_image(bytes(r.media))
+        assert (small == np.rint(media.area_resize(pixels, min(128, len(pixels)), 32)).astype(np.uint8)).all() and all(len(np.load(io.BytesIO(bytes(t)))) <= 32 for t in r.tiles)
     assert rows[5][1:] == rows[len(texts) - 1][1:]
     assert media.text_media(frame(spark, texts, "a string, b string").limit(0)).count() == 0
