@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import hashing
+from simloom.operators import search
+from simloom.sources import shared
 
 
 @dataclass(frozen=True)
@@ -56,73 +57,61 @@ def assign_leaves(index: DataFrame, geometry: Geometry | None = None, mode: str
     """index with leaf, the name of the bucket each vector is in, and depth.
 
     In count mode a prefix is split if it is crowded, and every prefix of a crowded one is crowded too; so a vector's depth is one
-    more than the crowded prefixes on its path, which come from counts combined before the shuffle and one join. order_exact gathers a table's first-level bucket in arrival order, as its meaning requires.
+    more than the crowded prefixes on its path, which come from counts combined before the shuffle and one join. order_exact
+    follows arrivals level by level (see split_in_order); arrival tells the rows of a table apart.
     """
     geometry = geometry or Geometry()
     group = ["table_id"] + ([partition] if partition else [])
-    if mode == "order_exact":
-        return _in_order(index, geometry, group, arrival)
-    if mode != "count":
+    if mode not in ("count", "order_exact"):
         raise ValueError(f"unknown mode {mode!r}")
     names = path(F.col("bucket_key"), geometry)
-    row = [*group, "vector_id", "bucket_key"]
-    prefixes = index.select(*row, F.explode(F.array(*names[:-1])).alias("_p")) if len(names) > 1 else None
-    out = index.withColumn("_depth", F.lit(1))
-    if prefixes is not None:
+    row = list(dict.fromkeys([*group, "vector_id", "bucket_key"]))
+    if len(names) == 1:
+        out = index.withColumn("_depth", F.lit(1))
+    else:
+        prefixes = index.select(*row, F.explode(F.array(*names[:-1])).alias("_p"))
         crowded = prefixes.groupBy(*group, "_p").agg(F.count("*").alias("_n")).filter(F.col("_n") > geometry.overflow).drop("_n")
+        if mode == "order_exact":
+            crowded = split_in_order(index, geometry, group, arrival, crowded)
         split = prefixes.join(crowded, [*group, "_p"]).groupBy(*row).agg(F.count_distinct("_p").alias("_splits"))
         out = index.join(split, row, "left").withColumn("_depth", F.coalesce(F.col("_splits"), F.lit(0)) + 1)
     depth = F.col("_depth").cast("int")
     return out.select(*index.columns, F.get(F.array(*names), depth - 1).alias("leaf"), depth.alias("depth"))
 
 
-def _in_order(index: DataFrame, geometry: Geometry, group: list[str], arrival: str) -> DataFrame:
-    names = path(F.col("bucket_key"), geometry)
-    keyed = index.select(*index.columns, F.array(*names).alias("_path"), names[0].alias("_root"))
-    fields, columns, overflow = ", ".join(f"{c} {t}" for c, t in index.dtypes), index.columns, geometry.overflow
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([arrival, "bucket_key"], kind="stable")
-        depth = replay([tuple(p) for p in pdf["_path"]], overflow)
-        pdf["depth"] = depth
-        pdf["leaf"] = [p[d - 1] for p, d in zip(pdf["_path"], depth, strict=True)]
-        return pdf[[*columns, "leaf", "depth"]]
-
-    return keyed.groupBy(*group, "_root").applyInPandas(run, f"{fields}, leaf string, depth int")
-
+def split_in_order(index: DataFrame, geometry: Geometry, group: list[str], arrival: str, crowded: DataFrame) -> DataFrame:
+    """(group, _p): the buckets that split when entries arrive one by one.
 
-def replay(paths: list[tuple[str, ...]], overflow: int) -> list[int]:
-    """The final depth of each path when they arrive in this order.
-
-    A bucket splits when an entry arrives at more than the larger of overflow and what it held when it was made.
+    A bucket splits when an entry arrives at more than the larger of overflow and what it held when it was made, which is what
+    had arrived by the time its parent split. So it splits at the arrival of its entry number overflow + 1, or, made with more
+    than that, at the first arrival after it was made. Both are sums and smallest values that combine before a shuffle, a level
+    at a time; only entries whose bucket has split go on to the next level.
     """
-    leaves: dict[str, tuple[int, list[int]]] = {}
-    split: set[str] = set()
-    depth = [1] * len(paths)
-    for k, p in enumerate(paths):
-        d = 1
-        while p[d - 1] in split:
-            d += 1
-        made, entries = leaves.setdefault(p[d - 1], (0, []))
-        entries.append(k)
-        depth[k] = d
-        if len(entries) > max(overflow, made) and d < len(p):
-            split.add(p[d - 1])
-            del leaves[p[d - 1]]
-            below: dict[str, list[int]] = {}
-            for e in entries:
-                below.setdefault(paths[e][d], []).append(e)
-                depth[e] = d + 1
-            leaves |= {name: (len(found), found) for name, found in below.items()}
-    return depth
-
-
-def candidates(assigned: DataFrame, partition: str | None = None) -> DataFrame:
-    """Distinct pairs (query_id, neighbor_id) of different vectors that share a leaf of some table."""
-    group = ["table_id"] + ([partition] if partition else []) + ["leaf"]
-    q = assigned.select(*group, F.col("vector_id").alias("query_id"))
-    n = assigned.select(*group, F.col("vector_id").alias("neighbor_id"))
-    return q.join(n, group).filter("query_id <> neighbor_id").select("query_id", "neighbor_id").distinct()
+    names = path(F.col("bucket_key"), geometry)
+    held = list(dict.fromkeys([*group, arrival]))
+    level = index.select(*held, F.array(*names).alias("_path"), F.lit(None).cast(index.schema[arrival].dataType).alias("_since"))
+    found, at = None, [*group, "_p"]
+    for d in range(len(names) - 1):
+        rows = level.withColumn("_p", F.get("_path", F.lit(d))).join(crowded, at, "left_semi")
+        stats = rows.groupBy(*at).agg(
+            F.count("*").alias("_n"), F.count_if(F.col(arrival) <= F.col("_since")).alias("_made"), F.min(F.when(F.col(arrival) > F.col("_since"), F.col(arrival))).alias("_next")
+        ).filter(F.col("_n") > F.greatest(F.lit(geometry.overflow), F.col("_made")))
+        rank = F.row_number().over(Window.partitionBy(*at).orderBy(arrival))
+        filled = rows.select(*dict.fromkeys([*at, arrival])).withColumn("_r", rank).filter(F.col("_r") <= geometry.overflow + 1).filter(F.col("_r") == geometry.overflow + 1)
+        filled = filled.select(*at, F.col(arrival).alias("_filled"))
+        when = F.when(F.col("_made") <= geometry.overflow, F.col("_filled")).otherwise(F.col("_next"))
+        split = shared.cut(stats.join(filled, at).select(*at, when.alias("_at")))
+        found = split.select(*at) if found is None else found.unionByName(split.select(*at))
+        level = rows.join(split, at).select(*held, "_path", F.col("_at").alias("_since"))
+        if d + 2 < len(names):
+            level = shared.cut(level)
+    return found
+
+
+def candidates(assigned: DataFrame, partition: str | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (query_id, neighbor_id) of different vectors that share a leaf of some table; queries are rows of assigned, or all of them."""
+    bucket = ["table_id"] + ([partition] if partition else []) + ["leaf"]
+    return search.candidates(assigned if queries is None else queries, assigned, bucket=bucket)
 
 
 #: Levels of tagged prefixes, and bits of each.
@@ -153,16 +142,9 @@ def prefix_leaves(index: DataFrame, most: int = 32) -> DataFrame:
     return out.select(*index.columns, level.cast("int").alias("level"), named.alias("prefix_key"))
 
 
-def prefix_candidates(leaves: DataFrame) -> DataFrame:
+def prefix_candidates(leaves: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (query_id, neighbor_id) of different vectors whose entries ended under the same tagged prefix."""
-    q = leaves.select("table_id", "prefix_key", F.col("vector_id").alias("query_id"))
-    n = leaves.select("table_id", "prefix_key", F.col("vector_id").alias("neighbor_id"))
-    return q.join(n, ["table_id", "prefix_key"]).filter("query_id <> neighbor_id").select("query_id", "neighbor_id").distinct()
-
-
-def arrival_numbers(df: DataFrame, order: str) -> DataFrame:
-    """df with arrival, from 0 in the given order; a window over all rows, for small inputs and tests."""
-    return df.withColumn("arrival", F.row_number().over(Window.orderBy(order)) - 1)
+    return search.candidates(leaves if queries is None else queries, leaves, bucket=["table_id", "prefix_key"])
 
 
 def leaf_sizes(assigned: DataFrame) -> DataFrame:

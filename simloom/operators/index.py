@@ -5,11 +5,12 @@ An index is a table (table_id, bucket_key, vector_id). Everything here works on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions import hashing
 from simloom.operators.families import AngleFamily, HashFamily
+from simloom.sources import text
 
 
 def build_index(vectors: DataFrame, family: HashFamily, vector_id: str = "vector_id", values: str = "values") -> DataFrame:
@@ -28,21 +29,14 @@ def bucket_counts(index: DataFrame) -> DataFrame:
 
 
 def bucket_offsets(index: DataFrame) -> DataFrame:
-    """bucket_counts with first_slot, the exclusive running total within the table in key order.
-
-    Only buckets, not vectors, meet in a table's window.
-    """
-    order = Window.partitionBy("table_id").orderBy("bucket_key").rowsBetween(Window.unboundedPreceding, -1)
-    return bucket_counts(index).withColumn("first_slot", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("long"))
+    """bucket_counts with first_slot, the exclusive running total within the table in key order."""
+    return text.running_total(bucket_counts(index), ["table_id"], [F.col("bucket_key")], F.col("n"), "first_slot")
 
 
 def vector_slots(index: DataFrame) -> DataFrame:
-    """index with slot, the place of each vector in its table: its bucket's offset plus its rank in the bucket.
-
-    Ranks need a window over a bucket only, so a table may be larger than any task.
-    """
-    rank = F.row_number().over(Window.partitionBy("table_id", "bucket_key").orderBy("vector_id")) - 1
-    return index.join(bucket_offsets(index).drop("n"), ["table_id", "bucket_key"]).select("table_id", "bucket_key", "vector_id", (F.col("first_slot") + rank).cast("long").alias("slot"))
+    """index with slot, the place of each vector in its table by bucket and id; neither a table nor a bucket has to fit into a task."""
+    rows = index.select("table_id", "bucket_key", "vector_id")
+    return text.running_total(rows, ["table_id"], [F.col("bucket_key"), F.col("vector_id")], F.lit(1), "slot")
 
 
 def hash_partition(value: Column, partitions: int) -> Column:

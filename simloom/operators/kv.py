@@ -6,10 +6,12 @@ the DataFrame before.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simloom.sources import text
+from simloom.sources import shared, text
 
 
 def get(df: DataFrame, key: str, values) -> DataFrame:
@@ -88,33 +90,45 @@ def descending(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     return text.number_rows(df, F.desc(key), name)
 
 
-def navigate(probes: DataFrame, probe: str, df: DataFrame, key: str, width: int) -> DataFrame:
+def ordered(df: DataFrame, by: list[Column], name: str = "position") -> DataFrame:
+    """All rows, each with its position from 0 on by a composite order: rising, falling, over structs, arrays or bytes."""
+    return text.running_total(df, [], by, F.lit(1), name)
+
+
+def navigate(probes: DataFrame, probe: str, df: DataFrame, key: str) -> DataFrame:
     """probes with floor, lower, ceiling and higher: the nearest keys at most, under, at least and over each probe.
 
-    Keys are cut into buckets of the given width. A probe meets the keys of its own bucket, and for what lies beyond it the
-    nearest keys of other buckets, which come from a window over one row a bucket.
+    Keys and probes are dealt together by ranges. Within a range, running extremes give the nearest keys; beyond it, the
+    extremes of the other ranges, one row each, do.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    keys = df.select(F.col(key).alias("_k")).filter("_k IS NOT NULL").distinct().withColumn("_b", bucket("_k"))
-    asked = probes.select(probe).filter(F.col(probe).isNotNull()).distinct().withColumn("_b", bucket(probe))
-    spans = keys.groupBy("_b").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high")).unionByName(
-        asked.select("_b").distinct().withColumns({"_low": F.lit(None).cast(df.schema[key].dataType), "_high": F.lit(None).cast(df.schema[key].dataType)})
+    v, k = F.col("_v"), F.when(F.col("_key"), F.col("_v"))
+    kind = df.select(key).schema[0].dataType
+    both = df.select(F.col(key).alias("_v"), F.lit(True).alias("_key"), F.lit(False).alias("_asked"))
+    both = both.unionByName(probes.select(F.col(probe).cast(kind).alias("_v"), F.lit(False).alias("_key"), F.lit(True).alias("_asked")))
+    points = both.filter(v.isNotNull()).groupBy("_v").agg(F.bool_or("_key").alias("_key"), F.bool_or("_asked").alias("_asked"))
+    ranged = shared.cut(points.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    ends = ranged.groupBy("_part").agg(F.min(k).alias("_low"), F.max(k).alias("_high"))
+    parts = Window.orderBy("_part")
+    ends = ends.select(
+        "_part", F.max("_high").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_low").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
     )
-    spans = spans.groupBy("_b").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    around = spans.select("_b", F.max("_high").over(before).alias("_before"), F.min("_low").over(after).alias("_after"))
-    p, k = F.col(probe), F.col("_k")
-    near = asked.join(keys, "_b", "left").groupBy("_b", probe).agg(
-        F.max(F.when(k <= p, k)).alias("floor"), F.max(F.when(k < p, k)).alias("lower"), F.min(F.when(k >= p, k)).alias("ceiling"), F.min(F.when(k > p, k)).alias("higher")
-    )
-    near = near.join(around, "_b")
-    found = near.select(probe, *[F.coalesce(c, "_before" if c in ("floor", "lower") else "_after").alias(c) for c in ("floor", "lower", "ceiling", "higher")])
+    at = Window.partitionBy("_part").orderBy("_v")
+    near = {
+        "floor": F.max(k).over(at.rowsBetween(Window.unboundedPreceding, 0)), "lower": F.max(k).over(at.rowsBetween(Window.unboundedPreceding, -1)),
+        "ceiling": F.min(k).over(at.rowsBetween(0, Window.unboundedFollowing)), "higher": F.min(k).over(at.rowsBetween(1, Window.unboundedFollowing)),
+    }
+    found = ranged.withColumns(near).filter("_asked").join(F.broadcast(ends), "_part")
+    found = found.select(v.alias(probe), *[F.coalesce(c, "_before" if c in ("floor", "lower") else "_after").alias(c) for c in near])
     return probes.join(found, probe, "left")
 
 
-def multi_get(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """All values of each key as a sorted array."""
+def multi_get(df: DataFrame, keys: list[str], value: str, most: int | None = None) -> DataFrame:
+    """All values of each key, a row each; with most, a sorted array a key, and an error if a key has more values than that."""
+    if most is None:
+        return df.select(*keys, value)
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a key has {largest} values, {most} fit into an array")
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("all_values"))
 
 
@@ -126,11 +140,11 @@ def prefix_filter(df: DataFrame, **leading) -> DataFrame:
 
 
 def secondary_key(df: DataFrame, primary: str, derived: Column, name: str = "secondary_key") -> DataFrame:
-    """An index from a derived key (a column, or an array of keys) to the sorted primary keys."""
+    """An index (derived key, primary key), a row each, from a derived key (a column, or an array of keys)."""
     pairs = df.select(derived.alias(name), F.col(primary))
     if dict(pairs.dtypes)[name].startswith("array"):
         pairs = pairs.select(F.explode(name).alias(name), primary)
-    return pairs.filter(F.col(name).isNotNull()).groupBy(name).agg(F.array_sort(F.collect_set(primary)).alias("keys"))
+    return pairs.filter(F.col(name).isNotNull()).distinct()
 
 
 def secondary_values(df: DataFrame, primary: str, derived: Column, name: str = "secondary_value") -> DataFrame:
@@ -158,6 +172,20 @@ def expiry_bounds(df: DataFrame, time: str, seconds: int) -> DataFrame:
     return df.agg((F.min(time) + step).alias("first_expiry"), (F.max(time) + step).alias("last_expiry"))
 
 
+def expire_after_access(df: DataFrame, key: str, written: str, accesses: DataFrame, time: str, seconds: int, now: Column) -> DataFrame:
+    """Rows written or read no longer ago than so many seconds; accesses are (key, time)."""
+    last = accesses.groupBy(key).agg(F.max(time).alias("_read"))
+    marked = df.join(last, key, "left").withColumn("_last", F.greatest(written, "_read"))
+    recent = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("_last").cast("timestamp")) <= seconds * 1_000_000
+    return marked.filter(recent).select(*df.columns)
+
+
+def keep_within_size(df: DataFrame, size: Column, most: int, order: list[Column]) -> DataFrame:
+    """The rows that come first in the order (newest first) while their sizes add up to at most most; what goes, goes from the oldest."""
+    sized = text.running_total(df.withColumn("_size", size), [], order, F.col("_size"), "_before")
+    return sized.filter(F.col("_before") + F.col("_size") <= most).select(*df.columns)
+
+
 def keep_newest(df: DataFrame, most: int, *order: str) -> DataFrame:
     """The newest rows of a bounded collection; what goes is evicted()."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(most)
@@ -200,8 +228,23 @@ def checked_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_n", n).filter(F.assert_true(F.col("_n") == 1, "a key occurs twice").isNull()).drop("_n")
 
 
+def bulk_load(df: DataFrame, keys: list[str], *order: str, duplicates: str = "error") -> DataFrame:
+    """The rows of a bulk load: a key that occurs twice is an error, or, ignored, its first row by order counts."""
+    if duplicates not in ("error", "ignore"):
+        raise ValueError(f"duplicates are an error or ignored, not {duplicates!r}")
+    return checked_unique(df, keys) if duplicates == "error" else first(df, keys, *order)
+
+
+class Conflict(Exception):
+    """Another commit came between the beginning of a transaction and its commit."""
+
+
 class Catalog:
-    """Named collections as tables of the session's warehouse; a change writes a new version and swaps the name."""
+    """Named collections in the session's warehouse. A name is a view of one version's table.
+
+    A change writes a new version beside the old one and then points the view at it, one step of the catalog; so a name is
+    never without a table, and the version before stays for snapshots and rollback until the commit after.
+    """
 
     def __init__(self, spark: SparkSession, prefix: str = "simloom_"):
         self.spark, self.prefix = spark, prefix
@@ -209,28 +252,94 @@ class Catalog:
     def _name(self, name: str) -> str:
         return self.prefix + name
 
+    def _point(self, name: str, version: int, tables: list[str]) -> None:
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self._name(name)} TBLPROPERTIES ('version' = '{version}', 'tables' = '{','.join(tables)}') AS SELECT * FROM {tables[-1]}")
+
+    def _state(self, name: str) -> tuple[int, list[str]]:
+        """(version, tables of the version before and of this one)."""
+        found = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._name(name)}").collect()}
+        return int(found["version"]), found["tables"].split(",")
+
+    def _write(self, df: DataFrame) -> str:
+        table = f"{self.prefix}data_{uuid.uuid4().hex}"
+        df.write.saveAsTable(table)
+        return table
+
     def create(self, name: str, df: DataFrame) -> None:
-        df.write.saveAsTable(self._name(name))
+        if self.exists(name):
+            raise ValueError(f"there is a collection {name!r}")
+        self._point(name, 1, [self._write(df)])
 
     def get(self, name: str) -> DataFrame:
         return self.spark.table(self._name(name))
 
+    def snapshot(self, name: str) -> DataFrame:
+        """This version, whatever the next commit brings."""
+        return self.spark.table(self._state(name)[1][-1])
+
+    def version(self, name: str) -> int:
+        return self._state(name)[0]
+
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(self._name(name))
 
     def drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+        if self.exists(name):
+            tables = self._state(name)[1]
+            self.spark.sql(f"DROP VIEW {self._name(name)}")
+            for table in tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def rename(self, old: str, new: str) -> None:
-        self.spark.sql(f"ALTER TABLE {self._name(old)} RENAME TO {self._name(new)}")
+        self.spark.sql(f"ALTER VIEW {self._name(old)} RENAME TO {self._name(new)}")
 
     def names(self) -> list[str]:
-        return sorted(t.name[len(self.prefix) :] for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix))
-
-    def commit(self, name: str, df: DataFrame) -> None:
-        """Replace a collection by one that may be derived from it: write beside it, then swap."""
-        fresh = f"{name}_next"
-        self.drop(fresh)
-        self.create(fresh, df)
-        self.drop(name)
-        self.rename(fresh, name)
+        return sorted(t.name[len(self.prefix) :] for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix) and t.tableType == "VIEW")
+
+    def commit(self, name: str, df: DataFrame, expected: int | None = None) -> int:
+        """Replace a collection by one that may be derived from it; with expected, only if that is still its version."""
+        fresh = self._write(df)
+        version, tables = self._state(name)
+        if expected is not None and version != expected:
+            self.spark.sql(f"DROP TABLE {fresh}")
+            raise Conflict(f"{name} has version {version}, not {expected}")
+        self._point(name, version + 1, [tables[-1], fresh])
+        for table in tables[:-1]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        return version + 1
+
+    def rollback(self, name: str) -> int:
+        """Go back to the version before the last commit."""
+        version, tables = self._state(name)
+        if len(tables) < 2:
+            raise ValueError(f"{name} has no version before {version}")
+        self._point(name, version + 1, tables[:1])
+        self.spark.sql(f"DROP TABLE IF EXISTS {tables[-1]}")
+        return version + 1
+
+    def compact(self, name: str, files: int = 1) -> int:
+        return self.commit(name, self.get(name).coalesce(files))
+
+    def begin(self, name: str) -> Transaction:
+        return Transaction(self, name)
+
+
+class Transaction:
+    """Changes of one collection as it was when the transaction began; they all come at commit, or not at all."""
+
+    def __init__(self, catalog: Catalog, name: str):
+        self.catalog, self.name, self.version, self.rows = catalog, name, catalog.version(name), catalog.snapshot(name)
+
+    def read(self) -> DataFrame:
+        return self.rows
+
+    def write(self, df: DataFrame) -> None:
+        self.rows = df
+
+    def commit(self) -> int:
+        """Raises Conflict, and changes nothing, if another commit came first."""
+        return self.catalog.commit(self.name, self.rows, self.version)
+
+    def rollback(self) -> None:
+        self.rows = self.catalog.snapshot(self.name)
+        self.version = self.catalog.version(self.name)

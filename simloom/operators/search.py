@@ -9,25 +9,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import similarity
+from simloom.sources import shared
 
 #: A hot bucket is split by salts so that each part has at most about so many rows.
 BUCKET_ROWS = 2000
 #: Bytes of query vectors that one pass of exact search broadcasts at most.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 8 << 20
+#: Bytes of scores that a task of exact search holds at once.
+SCORE_BYTES = 32 << 20
 BUCKET = ["table_id", "bucket_key"]
 
 
-def candidates(queries: DataFrame, index: DataFrame, keep_self: bool = False, earlier_only: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def candidates(
+    queries: DataFrame, index: DataFrame, keep_self: bool = False, earlier_only: bool = False, bucket_rows: int = BUCKET_ROWS, bucket: list[str] | None = None,
+) -> DataFrame:
     """Distinct (query_id, neighbor_id) that share a bucket of some table.
 
-    queries and index are (table_id, bucket_key, vector_id). Index rows of crowded buckets are dealt to salts by a hash of the
+    queries and index are (table_id, bucket_key, vector_id), or have other bucket columns. Index rows of crowded buckets are dealt to salts by a hash of the
     id, and query rows go to every salt of their bucket, so that no task meets a whole hot bucket; the number of salts comes
     from grouped counts. earlier_only keeps neighbours with smaller ids, the meaning of search-then-insert.
     """
-    counts = index.groupBy(*BUCKET).agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("salts"))
-    n = index.join(counts, BUCKET).select(*BUCKET, F.pmod(F.xxhash64("vector_id"), "salts").cast("int").alias("salt"), F.col("vector_id").alias("neighbor_id"))
-    q = queries.join(counts, BUCKET).select(*BUCKET, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vector_id").alias("query_id"))
-    pairs = q.join(n, [*BUCKET, "salt"]).select("query_id", "neighbor_id")
+    bucket = bucket or BUCKET
+    counts = index.groupBy(*bucket).agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("salts"))
+    n = index.join(counts, bucket).select(*bucket, F.pmod(F.xxhash64("vector_id"), "salts").cast("int").alias("salt"), F.col("vector_id").alias("neighbor_id"))
+    q = queries.join(counts, bucket).select(*bucket, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vector_id").alias("query_id"))
+    pairs = q.join(n, [*bucket, "salt"]).select("query_id", "neighbor_id")
     if earlier_only:
         pairs = pairs.filter("neighbor_id < query_id")
     elif not keep_self:
@@ -100,8 +106,9 @@ def _scan(sent, k, threshold, exclude_self):
     def run(batches):
         query_ids, q = sent.value
         best_s, best_n = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
-        for batch in batches:
-            if not len(batch) or not len(q):
+        step = max(1, SCORE_BYTES // (8 * max(1, len(q))))
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, len(whole), step)):
+            if not len(q):
                 continue
             ids = batch.column(0).to_numpy()
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
@@ -129,15 +136,34 @@ def postings(sparse: DataFrame, vector_id: str = "vector_id") -> DataFrame:
     )
 
 
-def sparse_join(sparse: DataFrame, threshold: float, post: DataFrame | None = None) -> DataFrame:
-    """Pairs query_id < neighbor_id of sparse vectors by inner product through shared dimensions, at least threshold.
+def hot_keys(rows: DataFrame, key: str, part_rows: int = BUCKET_ROWS, share: int = 1000) -> DataFrame:
+    """(key, salts) of keys on more than one of share rows (and more than part_rows): at most share of them, so they may be broadcast."""
+    counts = shared.cut(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    bound = max(part_rows, (counts.agg(F.sum("_n")).first()[0] or 0) // share)
+    return counts.filter(F.col("_n") > bound).select(key, F.ceil(F.col("_n") / bound).cast("int").alias("_salts"))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, part_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows joined with table (one row a key) where some keys are on very many rows: those are dealt by salts, table's rows to each."""
+    hot = F.broadcast(shared.cut(hot_keys(rows, key, part_rows)))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), salts).cast("int")).drop("_salts")
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def sparse_join(sparse: DataFrame, threshold: float, post: DataFrame | None = None, queries=None) -> DataFrame:
+    """Pairs of sparse vectors by inner product through shared dimensions, at least threshold.
 
-    Dimensions are salted like hot buckets; products are summed map-side before the shuffle by pair.
+    Without queries (a condition on vector_id) each pair comes once, query_id < neighbor_id; with it, the vectors that it
+    names are held against all others. Dimensions are salted like hot buckets; products are summed map-side before the
+    shuffle by pair.
     """
     post = postings(sparse) if post is None else post
     counts = post.groupBy("dimension").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("salts"))
     sized = post.join(counts, "dimension")
     n = sized.select("dimension", F.pmod(F.xxhash64("vector_id"), "salts").cast("int").alias("salt"), F.col("vector_id").alias("neighbor_id"), F.col("value").alias("b"))
-    q = sized.select("dimension", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vector_id").alias("query_id"), F.col("value").alias("a"))
-    pairs = q.join(n, ["dimension", "salt"]).filter("query_id < neighbor_id")
+    asking = sized if queries is None else sized.filter(queries)
+    q = asking.select("dimension", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vector_id").alias("query_id"), F.col("value").alias("a"))
+    pairs = q.join(n, ["dimension", "salt"]).filter("query_id < neighbor_id" if queries is None else "query_id <> neighbor_id")
     return pairs.groupBy("query_id", "neighbor_id").agg(F.sum(F.col("a") * F.col("b")).alias("similarity")).filter(F.col("similarity") >= threshold)

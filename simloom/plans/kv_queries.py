@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from simloom.operators import index, kv
 from simloom.plans.vector_queries import ANGLE_SQL, THEN_INSERT_SQL, THRESHOLD, angle_family, embeddings, query, table
-from simloom.sources import shared
+from simloom.sources import shared, text
 from simloom.streaming import online
 
 
@@ -74,14 +76,15 @@ def kv_range_scan(spark, sf_dir):
     return kv.range_scan(orders(spark, sf_dir), "o_orderkey", 100, 5000).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS position, o_orderkey, o_totalprice FROM orders")
 def kv_descending(spark, sf_dir):
-    return kv.poll(orders(spark, sf_dir), "o_orderkey", last=True, n=100).select("o_orderkey", "o_totalprice")
+    return kv.descending(orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), "o_orderkey").select("position", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS position, o_orderkey, o_totalprice FROM orders")
-def kv_descending_view(spark, sf_dir):
-    return kv.descending(orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), "o_orderkey").select("position", "o_orderkey", "o_totalprice")
+@query("SELECT row_number() OVER (ORDER BY o_custkey, o_totalprice DESC, o_orderkey) - 1 AS position, o_custkey, o_totalprice, o_orderkey FROM orders")
+def kv_composite_order(spark, sf_dir):
+    by = [F.asc("o_custkey"), F.desc("o_totalprice"), F.asc("o_orderkey")]
+    return kv.ordered(orders(spark, sf_dir).select("o_custkey", "o_totalprice", "o_orderkey"), by).select("position", "o_custkey", "o_totalprice", "o_orderkey")
 
 
 @query("SELECT * FROM (SELECT 'first' AS which, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3) UNION ALL SELECT * FROM (SELECT 'last' AS which, o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 3)")
@@ -98,13 +101,13 @@ SELECT probe, coalesce(floor, -1) AS floor, coalesce(lower, -1) AS lower, coales
 def kv_floor_ceiling(spark, sf_dir):
     probes = table(spark, sf_dir, "part").select((F.col("p_partkey") * 37).alias("probe")).distinct()
     keys = orders(spark, sf_dir).select((F.col("o_custkey") * 10).alias("key"))
-    found = kv.navigate(probes, "probe", keys, "key", 1000)
+    found = kv.navigate(probes, "probe", keys, "key")
     return found.select("probe", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("floor", "lower", "ceiling", "higher")])
 
 
 @query("SELECT l_orderkey, list(l_partkey ORDER BY l_partkey) AS all_values FROM lineitem GROUP BY l_orderkey")
 def kv_multi_get(spark, sf_dir):
-    return kv.multi_get(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey")
+    return kv.multi_get(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey", most=1000)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
@@ -112,12 +115,12 @@ def kv_prefix_filter(spark, sf_dir):
     return kv.prefix_filter(table(spark, sf_dir, "lineitem"), l_returnflag="R", l_linestatus="F").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT c_mktsegment AS secondary_key, list(c_custkey ORDER BY c_custkey) AS keys FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment AS secondary_key, c_custkey FROM customer")
 def kv_secondary_key(spark, sf_dir):
     return kv.secondary_key(table(spark, sf_dir, "customer"), "c_custkey", F.col("c_mktsegment"))
 
 
-@query("SELECT secondary_key, list(p_partkey ORDER BY p_partkey) AS keys FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_type, ' ')) AS secondary_key FROM part) GROUP BY 1")
+@query("SELECT DISTINCT unnest(string_split(p_type, ' ')) AS secondary_key, p_partkey FROM part")
 def kv_secondary_keys_many(spark, sf_dir):
     return kv.secondary_key(table(spark, sf_dir, "part"), "p_partkey", F.split("p_type", " "))
 
@@ -154,6 +157,21 @@ def kv_expiry_bounds(spark, sf_dir):
     return kv.expiry_bounds(events(spark, sf_dir), "ts", 60).select(F.unix_micros(F.col("first_expiry").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last_expiry").cast("timestamp")).alias("last_us"))
 
 
+@query("""WITH w AS (SELECT user_id, min(ts) AS written, max(ts) AS last FROM events GROUP BY user_id)
+SELECT user_id, epoch_us(written) AS written_us FROM w WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(last) <= 86400 * CAST(1000000 AS BIGINT)""")
+def kv_expire_after_access(spark, sf_dir):
+    e = events(spark, sf_dir)
+    entries = e.groupBy("user_id").agg(F.min("ts").alias("written"))
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    out = kv.expire_after_access(entries, "user_id", "written", e.select("user_id", "ts"), "ts", 86_400, now)
+    return out.select("user_id", F.unix_micros(F.col("written").cast("timestamp")).alias("written_us"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders QUALIFY sum(length(o_orderpriority)) OVER (ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) <= 20000")
+def kv_expire_store_size(spark, sf_dir):
+    return kv.keep_within_size(orders(spark, sf_dir).select("o_orderkey", "o_orderpriority"), F.length("o_orderpriority"), 20_000, [F.desc("o_orderkey")])
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def kv_expire_max_size(spark, sf_dir):
     return kv.keep_newest(events(spark, sf_dir).select("event_id", "user_id", "ts"), 500, "ts", "event_id").drop("ts")
@@ -209,6 +227,56 @@ def kv_checked_bulk_load(spark, sf_dir):
     return kv.checked_unique(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
+def kv_bulk_load_ignoring(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return kv.bulk_load(rows, ["l_orderkey"], "l_linenumber", duplicates="ignore")
+
+
+def spilled_orders(spark, sf_dir):
+    """Orders in a collection that spills at every read, put in by thirds of their keys."""
+    o = orders(spark, sf_dir).select("o_custkey", "o_orderkey")
+    third = F.floor(F.col("o_orderkey") * 3 / (o.agg(F.max("o_orderkey")).first()[0] + 1))
+    store = text.SpilledCollection(spark, shared.scratch_path(spark, "spilled"), "o_custkey", 1)
+    for k in range(2):
+        store.put(o.filter(third == k))
+        store.maybe_spill()
+    store.threshold = 1 << 40
+    store.put(o.filter(third == 2))
+    return store
+
+
+SPILLED_SQL = "WITH s AS (SELECT o_custkey, o_orderkey, 2 - CAST(floor(o_orderkey * 3 / (SELECT max(o_orderkey) + 1 FROM orders)) AS INTEGER) AS age FROM orders WHERE o_custkey IN (1, 4, 7, 10, 11, 100, 1000, 99999999))"
+
+
+@query(f"{SPILLED_SQL} SELECT * FROM s")
+def spilled_lookup(spark, sf_dir):
+    return spilled_orders(spark, sf_dir).lookup([1, 4, 7, 10, 11, 100, 1000, 99_999_999])
+
+
+@query("""WITH t AS (SELECT c_custkey, c_acctbal FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal FROM t""")
+def kv_transactions(spark, sf_dir):
+    """A commit that holds, one that is rolled back, and one that another came before."""
+    catalog, name = kv.Catalog(spark, f"simloom_{uuid.uuid4().hex}_"), "accounts"
+    catalog.create(name, table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    raised = lambda df, by: df.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + by).otherwise(F.col("c_acctbal")))
+    late, first = catalog.begin(name), catalog.begin(name)
+    first.write(raised(first.read(), 10))
+    first.commit()
+    late.write(raised(late.read(), 1000))
+    try:
+        late.commit()
+    except kv.Conflict:
+        late.rollback()
+    catalog.commit(name, raised(catalog.get(name), 500))
+    catalog.rollback(name)
+    path = shared.scratch_path(spark, "accounts")
+    catalog.get(name).write.parquet(path)
+    catalog.drop(name)
+    return spark.read.parquet(path)
+
+
 @query(f"""{ANGLE_SQL}, o AS (SELECT *, CAST((vector_id // 50) % 4 AS INTEGER) AS generation FROM k)
 SELECT table_id, bucket_key, vector_id, generation, generation BETWEEN 1 AND 2 AS in_window, (CAST(bucket_key AS BIGINT) % 3 + 3) % 3 = vector_id % 3 AS owned FROM o""")
 def generation_ring(spark, sf_dir):
@@ -252,3 +320,20 @@ def stream_compaction(spark, sf_dir):
 def latency_windows(spark, sf_dir):
     out = online.latency_windows(events(spark, sf_dir), "ts", "value", "1 day")
     return out.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n", "max_value", "min_value", F.round("avg_value", 6).alias("avg_value"))
+
+
+@query("""WITH w AS (SELECT event_id, value, ts FROM events WHERE ts IS NOT NULL),
+k AS (SELECT epoch_us(time_bucket(INTERVAL 12 HOUR, ts)) AS s, value FROM w UNION ALL SELECT epoch_us(time_bucket(INTERVAL 12 HOUR, ts)) - 43200 * CAST(1000000 AS BIGINT) AS s, value FROM w)
+SELECT s AS start_us, count(*) AS n, max(value) AS max_value FROM k GROUP BY s""")
+def sliding_windows(spark, sf_dir):
+    out = online.sliding_windows(events(spark, sf_dir), "ts", "value", "1 day", "12 hours")
+    return out.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n", "max_value")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 3600 * CAST(1000000 AS BIGINT) THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, min(t) AS start_us, max(t) + 3600 * CAST(1000000 AS BIGINT) AS end_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):
+    out = online.sessions(events(spark, sf_dir).filter("user_id IS NOT NULL"), "ts", "user_id", "1 hour")
+    return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")

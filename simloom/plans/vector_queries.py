@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from simloom.functions import hashing, similarity, vectors
 from simloom.operators import adaptive, bitset, evaluate, index, search
 from simloom.operators.families import AngleFamily, PrecalculatedFamily, PStableFamily, scrambled, scrambled_planes
-from simloom.sources import text
+from simloom.sources import shared, text
 
 TABLES, CHAIN, DIM = 8, 6, 64
 THRESHOLD, K = 0.3, 10
+#: Bytes of a table that may be broadcast, after its size was checked.
+BROADCAST_BYTES = 32 << 20
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -166,10 +168,10 @@ def byte_array_hash(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", hashing.ints_hash(F.array(F.col("o_orderkey").cast("int"))).alias("hash"))
 
 
-@query(f"{PAIRS_SQL} SELECT * FROM pairs")
+@query(f"{PAIRS_SQL} SELECT * FROM pairs WHERE query_id % 20 = 0")
 def lsh_candidates(spark, sf_dir):
     i = angle_index(spark, sf_dir)
-    return search.candidates(i, i)
+    return search.candidates(queried(i), i)
 
 
 @query(f"""{SCORED_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS INTEGER) AS rank FROM scored WHERE similarity >= 0.3)
@@ -258,12 +260,30 @@ def adaptive_leaf_sizes(spark, sf_dir):
     return adaptive.leaf_sizes(deep_leaves(spark, sf_dir))
 
 
-@query(f"{leaves_sql()} SELECT DISTINCT q.vector_id AS query_id, n.vector_id AS neighbor_id FROM leaves q JOIN leaves n USING (table_id, leaf) WHERE q.vector_id <> n.vector_id")
+@query(f"{leaves_sql()} SELECT DISTINCT q.vector_id AS query_id, n.vector_id AS neighbor_id FROM leaves q JOIN leaves n USING (table_id, leaf) WHERE q.vector_id <> n.vector_id AND q.vector_id % 20 = 0")
 def adaptive_candidates(spark, sf_dir):
-    return adaptive.candidates(deep_leaves(spark, sf_dir))
+    leaves = deep_leaves(spark, sf_dir)
+    return adaptive.candidates(leaves, queries=queried(leaves))
 
 
-@query()
+def ordered_leaves_sql() -> str:
+    """Level by level: what had arrived when a bucket was made, and when it splits."""
+    shifts = range(GEOMETRY.top_level * GEOMETRY.level_bits, -1, -GEOMETRY.level_bits)
+    parts, names = ["CAST(u >> 28 AS VARCHAR)"], []
+    for s in shifts:
+        parts.append(f"CAST((u >> {s}) & 7 AS VARCHAR)")
+        names.append(f"concat_ws('/', {', '.join(parts)}) AS p{len(names)}")
+    over, last = GEOMETRY.overflow, len(names) - 1
+    steps = [f"WITH {VECTORS_SQL}, {keys_sql('k', 'p', 4, 16)}, a0 AS (SELECT table_id, bucket_key, vector_id, CAST(-1 AS BIGINT) AS since, {', '.join(names)} FROM k)"]
+    for d in range(last):
+        steps.append(f"""s{d} AS (SELECT table_id, p{d}, count(*) FILTER (vector_id <= since) AS made, min(vector_id) FILTER (vector_id > since) AS nxt, list(vector_id ORDER BY vector_id)[{over + 1}] AS filled
+  FROM a{d} GROUP BY table_id, p{d} HAVING count(*) > greatest({over}, count(*) FILTER (vector_id <= since)))""")
+        steps.append(f"a{d + 1} AS (SELECT a{d}.* REPLACE (CASE WHEN made <= {over} THEN filled ELSE nxt END AS since) FROM a{d} JOIN s{d} USING (table_id, p{d}))")
+    reached = " UNION ALL ".join(f"SELECT table_id, vector_id, bucket_key, p{d} AS leaf, {d + 1} AS depth FROM a{d}" for d in range(last + 1))
+    return ", ".join(steps) + f", r AS ({reached}) SELECT table_id, bucket_key, vector_id, leaf, CAST(depth AS INTEGER) AS depth FROM r QUALIFY row_number() OVER (PARTITION BY table_id, vector_id ORDER BY depth DESC) = 1"
+
+
+@query(ordered_leaves_sql())
 def adaptive_leaves_in_order(spark, sf_dir):
     return adaptive.assign_leaves(index.build_index(embeddings(spark, sf_dir), deep_family()), GEOMETRY, "order_exact")
 
@@ -285,9 +305,10 @@ def prefix_leaf_keys(spark, sf_dir):
     return adaptive.prefix_leaves(index.build_index(embeddings(spark, sf_dir), deep_family()), 3).select("table_id", "vector_id", "level", "prefix_key")
 
 
-@query(f"{PREFIX_LEAVES_SQL} SELECT DISTINCT q.vector_id AS query_id, n.vector_id AS neighbor_id FROM leaves q JOIN leaves n USING (table_id, prefix_key) WHERE q.vector_id <> n.vector_id")
+@query(f"{PREFIX_LEAVES_SQL} SELECT DISTINCT q.vector_id AS query_id, n.vector_id AS neighbor_id FROM leaves q JOIN leaves n USING (table_id, prefix_key) WHERE q.vector_id <> n.vector_id AND q.vector_id % 20 = 0")
 def prefix_candidates(spark, sf_dir):
-    return adaptive.prefix_candidates(adaptive.prefix_leaves(index.build_index(embeddings(spark, sf_dir), deep_family()), 3))
+    leaves = adaptive.prefix_leaves(index.build_index(embeddings(spark, sf_dir), deep_family()), 3)
+    return adaptive.prefix_candidates(leaves, queried(leaves))
 
 
 @query(f"""{ANGLE_SQL}, s AS (SELECT vector_id, CAST(((bucket_key >> 26) % 4 + 4) % 4 AS INTEGER) AS shard_id, list(table_id ORDER BY table_id) AS l FROM k GROUP BY 1, 2)
@@ -378,9 +399,9 @@ def inverted_index_postings(spark, sf_dir):
     return search.postings(supplier_vectors(spark, sf_dir))
 
 
-@query(f"{SUPPLIER_SQL} SELECT DISTINCT a.vector_id AS query_id, b.vector_id AS neighbor_id FROM s a JOIN s b USING (dimension) WHERE a.vector_id < b.vector_id")
+@query(f"{SUPPLIER_SQL} SELECT DISTINCT a.vector_id AS query_id, b.vector_id AS neighbor_id FROM s a JOIN s b USING (dimension) WHERE a.vector_id <> b.vector_id AND a.vector_id % 20 = 0")
 def inverted_index_candidates(spark, sf_dir):
-    return search.sparse_join(supplier_vectors(spark, sf_dir), float("-inf")).select("query_id", "neighbor_id")
+    return search.sparse_join(supplier_vectors(spark, sf_dir), float("-inf"), queries="vector_id % 20 = 0").select("query_id", "neighbor_id")
 
 
 @query(f"""{SUPPLIER_SQL} SELECT a.vector_id AS query_id, b.vector_id AS neighbor_id, round(sum(a.value * b.value), 6) AS similarity
@@ -396,8 +417,10 @@ SELECT dimension, vector_id, value FROM c JOIN d USING (token)""")
 def token_postings(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vector_id"), F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("token"))
     counts = words.filter("token <> ''").groupBy("vector_id", "token").agg(F.count("*").alias("value"))
-    numbered = text.number_rows(counts.select("token").distinct(), "token", "dimension")
-    return counts.join(numbered, "token").select("dimension", "vector_id", "value")
+    numbered = shared.cut(text.number_rows(words.filter("token <> ''").select("token").distinct(), "token", "dimension"))
+    small = numbered.agg(F.sum(F.octet_length("token") + 24)).first()[0] or 0
+    joined = counts.join(F.broadcast(numbered), "token") if small <= BROADCAST_BYTES else search.salted_join(counts, numbered, "token")
+    return joined.select("dimension", "vector_id", "value")
 
 
 def order_sets(spark, sf_dir):
@@ -449,21 +472,38 @@ def vector_text_roundtrip(spark, sf_dir):
     return back.select("vector_id", "size", F.round(total, 6).alias("total"), F.size("values").cast("long").alias("non_zero"))
 
 
-@query(f"WITH {VECTORS_SQL} SELECT row_number() OVER (ORDER BY vector_id) - 1 AS vector_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first_unit FROM v WHERE vector_id % 2 = 1")
-def renumbered_load(spark, sf_dir):
-    v = embeddings(spark, sf_dir).filter("vector_id % 2 = 1")
-    out = text.number_rows(v.withColumnRenamed("vector_id", "old_id"), "old_id")
-    return out.select("vector_id", F.round(vectors.normalize(F.col("values"))[0], 6).alias("first_unit"))
-
-
 @query(f"WITH {VECTORS_SQL} SELECT row_number() OVER (ORDER BY vector_id * 3 + 7) - 1 AS vector_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first_unit FROM v")
-def renumbered_load_all(spark, sf_dir):
+def renumbered_load(spark, sf_dir):
     v = embeddings(spark, sf_dir).select((F.col("vector_id") * 3 + 7).alias("old_id"), "values")
     out = text.number_rows(v, "old_id")
     return out.select("vector_id", F.round(vectors.normalize(F.col("values"))[0], 6).alias("first_unit"))
 
 
-@query("SELECT CAST(x AS BIGINT) AS vector_id, CAST(16 AS INTEGER) AS size, true AS valid_vector FROM range(1000) r(x)")
+@query(f"WITH {VECTORS_SQL} SELECT row_number() OVER (ORDER BY vector_id) - 1 AS vector_id, round(e[1], 6) AS first_value FROM v QUALIFY vector_id < 150")
+def capped_load(spark, sf_dir):
+    """The first 150 vectors under new ids: the cap is what a capped load is for."""
+    return text.load_capped(embeddings(spark, sf_dir), 150).select("vector_id", F.round(F.col("values")[0], 6).alias("first_value"))
+
+
+@query(f"""{SCORED_SQL}, tr AS (SELECT a.vector_id AS query_id, b.vector_id AS neighbor_id, list_dot_product(a.e, b.e) AS similarity FROM v a JOIN v b ON b.vector_id % 20 <> 0 WHERE a.vector_id % 20 = 0),
+ex AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) <= 10),
+ap AS (SELECT * FROM scored WHERE query_id % 20 = 0 AND neighbor_id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) <= 10)
+SELECT e.query_id, count(a.query_id) / CAST(count(*) AS DOUBLE) AS recall FROM ex e LEFT JOIN ap a ON a.query_id = e.query_id AND a.neighbor_id = e.neighbor_id GROUP BY e.query_id""")
+def ann_recall_unindexed_queries(spark, sf_dir):
+    """Recall of queries that the index does not hold."""
+    v = embeddings(spark, sf_dir)
+    stored, asking = v.filter("vector_id % 20 <> 0"), queried(v)
+    pairs = search.candidates(index.build_index(asking, angle_family()), index.build_index(stored, angle_family()))
+    found = search.top_k(search.verify(pairs, stored, queries=asking), K)
+    return evaluate.recall(found, search.exact_knn(asking, stored, K))
+
+
+@query("""WITH a AS (SELECT i, d, (i * 16 + d + 42) & 4294967295 AS x FROM range(1000) r(i), range(16) c(d)),
+b AS (SELECT i, d, (xor(x >> 16, x) * 73244475) & 4294967295 AS x FROM a), c AS (SELECT i, d, (xor(x >> 16, x) * 73244475) & 4294967295 AS x FROM b),
+n AS (SELECT i, d FROM c WHERE xor(x >> 16, x) % 1048576 >= CAST(trunc(0.7 * 1048576) AS BIGINT))
+SELECT CAST(r.i AS BIGINT) AS vector_id, CAST(16 AS INTEGER) AS size, coalesce(string_agg(CAST(d AS VARCHAR), ',' ORDER BY d), '') AS indices, CAST(count(d) AS DOUBLE) AS total
+FROM range(1000) r(i) LEFT JOIN n ON n.i = r.i GROUP BY r.i""")
 def synthetic_sparse_vectors(spark, sf_dir):
     s = text.synthetic(spark, 1000, 16, 0.7)
-    return s.select("vector_id", "size", vectors.valid(F.col("size"), F.col("indices"), F.col("values")).alias("valid_vector"))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return s.filter(vectors.valid(F.col("size"), F.col("indices"), F.col("values"))).select("vector_id", "size", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), total.alias("total"))

@@ -2,12 +2,14 @@
 
 Micro-batches are answered against what is stored (static and delta tables, as Parquet) and against earlier vectors of the
 same batch. Every batch writes to folders named by its number, so a batch that runs again after a failure replaces what it
-wrote before, and answers never count a vector twice.
+wrote before. Stored rows keep the number of their own batch, through merges too, and a batch reads those of earlier batches
+alone; so a batch that runs again, before or after a merge, finds what it found at first.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from simloom.operators import search
 from simloom.operators.families import HashFamily
+from simloom.sources import shared
 
 VECTOR = T.StructType([T.StructField("vector_id", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 INDEX = T.StructType([T.StructField("table_id", T.IntegerType()), T.StructField("bucket_key", T.IntegerType()), T.StructField("vector_id", T.LongType())])
@@ -33,26 +36,30 @@ class OnlineIndex:
     order: str = "similarity"
     merge_threshold: int = 1000
 
-    def _read(self, kind: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-        """Stored rows of generations that began before a batch."""
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(*self._paths(kind)) if self._paths(kind) else None
-        if rows is None:
-            return self.spark.createDataFrame([], schema)
-        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+    def _read(self, kinds: tuple[str, ...], schema: T.StructType, before: int | None = None) -> DataFrame:
+        """Stored rows, with their batch, of batches before one."""
+        schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        paths = [p for kind in kinds for p in self._paths(kind)]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows if before is None else rows.filter(F.col("batch") < before)
 
     def _paths(self, kind: str) -> list[str]:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return sorted(s.getPath().toString() for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
 
-    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.root}/{kind}/{batch:012d}")
+    def _write(self, df: DataFrame, kind: str, batch: int) -> DataFrame:
+        """Write a batch's rows and read them back."""
+        path = f"{self.root}/{kind}/{batch:012d}"
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).drop("batch")
 
     def vectors(self, before: int | None = None) -> DataFrame:
-        return self._read("vectors", VECTOR, before)
+        """Stored vectors; one that a merge has copied and not yet removed is there once."""
+        return self._read(("static_vectors", "vectors"), VECTOR, before).distinct().drop("batch")
 
     def index(self, before: int | None = None) -> DataFrame:
-        return self._read("static", INDEX, before).unionByName(self._read("delta", INDEX, before))
+        return self._read(("static", "delta"), INDEX, before).drop("batch").distinct()
 
     def results(self) -> DataFrame:
         schema = "query_id long, neighbor_id long, similarity double"
@@ -61,44 +68,40 @@ class OnlineIndex:
 
     def process(self, batch_df: DataFrame, batch: int) -> None:
         """Answer a micro-batch of (vector_id, values), then insert it; for foreachBatch."""
-        fresh = batch_df.select("vector_id", F.col("values").cast("array<double>").alias("values"))
-        self._write(fresh, "vectors", batch)
-        fresh = self.spark.read.parquet(f"{self.root}/vectors/{batch:012d}").drop("batch")
-        self._write(self.family.exploded(fresh), "incoming", batch)
-        keys = self.spark.read.parquet(f"{self.root}/incoming/{batch:012d}").drop("batch")
-        stored = self.index(before=batch)
+        fresh = self._write(batch_df.select("vector_id", F.col("values").cast("array<double>").alias("values")), "vectors", batch)
+        keys = self._write(self.family.exploded(fresh), "delta", batch)
+        stored, known = (self._read(kinds, schema, batch).drop("batch") for kinds, schema in ((("static", "delta"), INDEX), (("static_vectors", "vectors"), VECTOR)))
         pairs = search.candidates(keys, stored, keep_self=True).filter("query_id <> neighbor_id")
         pairs = pairs.unionByName(search.candidates(keys, keys, earlier_only=True)).distinct()
-        scored = search.verify(pairs, self.vectors(before=batch).unionByName(fresh), self.threshold, queries=fresh)
+        scored = search.verify(pairs, known.unionByName(fresh), self.threshold, queries=fresh).distinct()  # stored rows may be there twice
         if self.top_k:
             scored = search.top_k(scored, self.top_k, self.order).drop("rank")
         scored.write.mode("overwrite").parquet(f"{self.root}/results/{batch:012d}")
-        self._write(keys, "delta", batch)
         self.maybe_merge(batch)
 
     def delta_size(self) -> int:
-        """Vectors in the delta tables."""
-        return self._read("delta", INDEX).select("vector_id").distinct().count()
+        """Vectors in the delta tables: every one has a row in the first table; the count is pushed to the scan."""
+        return self._read(("delta",), INDEX).filter("table_id = 0").count()
 
     def maybe_merge(self, batch: int) -> bool:
-        """Rewrite static and delta tables as one static table once the delta holds merge_threshold vectors.
+        """Rewrite static and delta tables as one static table once the delta holds merge_threshold vectors, and vectors as one table.
 
-        The new table is written first; the old files go only after it is whole. If a merge is cut short, the merge of the
-        next batch finishes it: rows are distinct, so being in both tables changes no answer.
+        A new table has a name of its own and is written first; the old files go only after it is whole. If a merge is cut
+        short, the next one finishes it: being in two tables changes no answer.
         """
         if self.delta_size() < self.merge_threshold:
             return False
-        old = self._paths("static") + self._paths("delta")
-        merged = self.index().distinct().repartitionByRange("table_id", "bucket_key").sortWithinPartitions("table_id", "bucket_key", "vector_id")
-        self._write(merged, "static", batch)
-        for path in old:
-            if not path.endswith(f"static/{batch:012d}"):
-                self._delete(path)
+        index = self._read(("static", "delta"), INDEX).groupBy(*INDEX.names).agg(F.min("batch").alias("batch"))
+        ranged = index.repartitionByRange("table_id", "bucket_key").sortWithinPartitions("table_id", "bucket_key", "vector_id")
+        self._replace(ranged, "static", ("static", "delta"), batch)
+        self._replace(self._read(("static_vectors", "vectors"), VECTOR).distinct(), "static_vectors", ("static_vectors", "vectors"), batch)
         return True
 
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def _replace(self, df: DataFrame, kind: str, kinds: tuple[str, ...], batch: int) -> None:
+        old = [p for k in kinds for p in self._paths(k)]
+        df.write.parquet(f"{self.root}/{kind}/{batch:012d}-{uuid.uuid4().hex}")
+        for path in old:
+            shared.discard(self.spark, path)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         """Run over a stream of (vector_id, values)."""
@@ -142,6 +145,22 @@ def latency_windows(events: DataFrame, time: str, value: str, width: str = "1 ho
     )
 
 
+def sliding_windows(events: DataFrame, time: str, value: str, width: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """As latency_windows, by windows that overlap."""
+    return events.withWatermark(time, late).groupBy(F.window(time, width, slide).alias("w")).agg(F.count("*").alias("n"), F.max(value).alias("max_value"))
+
+
+def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(key, start, end, n) of each run of a key's events with no longer pause than the gap."""
+    found = events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"))
+    return found.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def insert_allocated(index: DataFrame, fresh: DataFrame, tables) -> DataFrame:
+    """index with those rows of fresh whose tables this worker has; rows that it holds already come once."""
+    return index.unionByName(fresh.filter(F.col("table_id").isin(list(tables))).select(*index.columns)).distinct()
+
+
 def progress(query) -> list[dict]:
     """Rows and rows a second of each batch that a query reports."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "per_second": p["processedRowsPerSecond"]} for p in map(lambda x: json.loads(x.json), query.recentProgress)]

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from simloom.operators import bitset, kv
 from simloom.operators.families import AngleFamily, scrambled_planes
+from simloom.sources import text
 from simloom.streaming import online
 
 
@@ -31,7 +32,7 @@ def test_updates(spark):
 def test_navigation_against_a_sorted_list(spark):
     keys, probes = [3, 10, 11, 250, 990], [0, 3, 4, 11, 12, 500, 990, 2000]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = {r.p: r for r in kv.navigate(spark.createDataFrame([(p,) for p in probes], "p long"), "p", df, "k", 100).collect()}
+    got = {r.p: r for r in kv.navigate(spark.createDataFrame([(p,) for p in probes], "p long"), "p", df, "k").collect()}
     for p in probes:
         want = (max((k for k in keys if k <= p), default=None), max((k for k in keys if k < p), default=None), min((k for k in keys if k >= p), default=None), min((k for k in keys if k > p), default=None))
         assert (got[p].floor, got[p].lower, got[p].ceiling, got[p].higher) == want
@@ -58,7 +59,80 @@ def test_catalog(spark):
     assert pairs(c.get("a")) == [(1, "x"), (2, "y")] and c.exists("a") and c.names() == ["a"]
     c.rename("a", "b")
     c.drop("b")
-    assert c.names() == []
+    assert c.names() == [] and not [t for t in spark.catalog.listTables() if t.name.startswith("t_")]
+
+
+def test_transactions(spark):
+    c = kv.Catalog(spark, "tx_")
+    c.create("a", table(spark, [(1, "x")]))
+    one, two = c.begin("a"), c.begin("a")
+    one.write(kv.upsert(one.read(), table(spark, [(2, "y")]), ["k"]))
+    assert pairs(c.get("a")) == [(1, "x")]
+    one.commit()
+    two.write(table(spark, [(9, "late")]))
+    with pytest.raises(kv.Conflict):
+        two.commit()
+    assert pairs(c.get("a")) == [(1, "x"), (2, "y")]
+    two.rollback()
+    assert pairs(two.read()) == [(1, "x"), (2, "y")]
+    old = c.snapshot("a")
+    c.commit("a", table(spark, [(5, "z")]))
+    assert pairs(old) == [(1, "x"), (2, "y")] and pairs(c.get("a")) == [(5, "z")]
+    c.rollback("a")
+    assert pairs(c.get("a")) == [(1, "x"), (2, "y")]
+    c.compact("a")
+    assert pairs(c.get("a")) == [(1, "x"), (2, "y")]
+    c.drop("a")
+
+
+def test_a_name_is_never_without_a_table(spark, monkeypatch):
+    c = kv.Catalog(spark, "cut_")
+    c.create("a", table(spark, [(1, "x")]))
+
+    def fail(*args):
+        raise RuntimeError("gone")
+
+    monkeypatch.setattr(c, "_point", fail)
+    with pytest.raises(RuntimeError):
+        c.commit("a", table(spark, [(2, "y")]))
+    assert pairs(c.get("a")) == [(1, "x")]
+
+
+def test_bulk_loads(spark):
+    rows = table(spark, [(1, "b"), (1, "a"), (2, "c")])
+    assert pairs(kv.bulk_load(rows, ["k"], "v", duplicates="ignore")) == [(1, "a"), (2, "c")]
+    with pytest.raises(Exception, match="occurs twice"):
+        kv.bulk_load(rows, ["k"]).collect()
+    with pytest.raises(ValueError):
+        kv.bulk_load(rows, ["k"], duplicates="no such")
+
+
+def test_arrays_have_a_bound(spark):
+    rows = table(spark, [(1, "b"), (1, "a"), (2, "c")])
+    assert pairs(kv.multi_get(rows, ["k"], "v", most=2)) == [(1, ["a", "b"]), (2, ["c"])]
+    with pytest.raises(ValueError):
+        kv.multi_get(rows, ["k"], "v", most=1)
+    assert kv.multi_get(rows, ["k"], "v").count() == 3
+
+
+def test_a_collection_spills_where_it_is_read(spark, tmp_path):
+    store = text.SpilledCollection(spark, str(tmp_path), "k", 2)
+    store.put(table(spark, [(1, "a"), (2, "b")]))
+    assert sorted(map(tuple, store.lookup([1, 2]).collect())) == [(1, "a", 1), (2, "b", 1)] and store.generations == 1
+    store.put(table(spark, [(1, "c")]))
+    assert sorted(map(tuple, store.lookup([1, 3]).collect())) == [(1, "a", 1), (1, "c", 0)] and store.generations == 1
+    assert pairs(store.latest([1, 2])) == [(1, "c"), (2, "b")]
+    store.put(table(spark, [(2, "d")]))
+    assert sorted(map(tuple, store.lookup([1, 2]).collect())) == [(1, "a", 2), (1, "c", 1), (2, "b", 2), (2, "d", 1)] and store.memory is None
+
+
+def test_size_and_access_expire(spark):
+    df = spark.createDataFrame([(k, 10 * k) for k in range(1, 6)], "n long, size long")
+    assert sorted(r.n for r in kv.keep_within_size(df, F.col("size"), 95, [F.desc("n")]).collect()) == [4, 5]
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00"), (3, "2024-01-01 09:59:30")], "k long, w string").withColumn("w", F.to_timestamp("w"))
+    reads = spark.createDataFrame([(1, "2024-01-01 09:59:00"), (2, "2024-01-01 08:00:00")], "k long, t string").withColumn("t", F.to_timestamp("t"))
+    got = kv.expire_after_access(rows, "k", "w", reads, "t", 60, F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+    assert sorted(r.k for r in got.collect()) == [1, 3]
 
 
 def test_bitsets(spark):
@@ -102,6 +176,45 @@ def test_merging_changes_no_answer(spark, tmp_path):
     assert s.delta_size() == 0 and s.index().count() == 8
 
 
+def test_a_batch_that_runs_again_after_a_merge_finds_the_same(spark, tmp_path):
+    s = state(spark, tmp_path, merge_threshold=2)
+    for k in range(4):
+        s.process(batch(spark, 2 * k, 2 * k + 1), k)
+        before = answers(s)
+        for again in range(k + 1):
+            s.process(batch(spark, 2 * again, 2 * again + 1), again)
+            assert answers(s) == before == [(a, b) for a in range(2 * k + 2) for b in range(a)]
+    assert s.vectors().count() == 8 and s.index().count() == 16
+
+
+def test_a_merge_cut_short_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    s = state(spark, tmp_path, merge_threshold=2)
+    s.process(batch(spark, 0), 0)
+
+    def fail(*args):
+        raise RuntimeError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(online.shared, "discard", fail)
+        with pytest.raises(RuntimeError):
+            s.process(batch(spark, 1), 1)
+    s.process(batch(spark, 1), 1)
+    s.process(batch(spark, 2, 3), 2)
+    assert answers(s) == [(a, b) for a in range(4) for b in range(a)] and s.index().count() == 8
+
+
+def test_windows_and_sessions(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:05:00", 1.0), ("a", "2024-01-01 00:20:00", 3.0), ("a", "2024-01-01 02:00:00", 2.0)], "k string, t string, v double").withColumn("t", F.to_timestamp("t"))
+    assert sorted(r.n for r in online.sessions(rows, "t", "k").collect()) == [1, 2]
+    assert sorted(r.n for r in online.sliding_windows(rows, "t", "v").collect()) == [1, 1, 2, 2]
+
+
+def test_tables_that_a_worker_has(spark):
+    rows = spark.createDataFrame([(t, 7, v) for t in range(3) for v in (1, 2)], online.INDEX)
+    got = online.insert_allocated(rows.filter("vector_id = 1 AND table_id = 0"), rows, [0, 2])
+    assert pairs(got) == [(0, 7, 1), (0, 7, 2), (2, 7, 1), (2, 7, 2)]
+
+
 def test_generations(spark):
     df = spark.range(12)
     got = [r.g for r in df.select(online.generation(F.col("id"), 2, 3).alias("g")).collect()]

@@ -6,7 +6,7 @@ import pytest
 from simloom.plans import registry
 
 TINY = "/root/testdata/sf0.001"
-EAGER = ("stream_", "renumbered_", "token_")
+EAGER = ("stream_", "renumbered_", "token_", "kv_transactions", "spilled_")
 
 
 def plan(df):
@@ -31,3 +31,11 @@ def test_no_cross_joins(spark, name):
 @pytest.mark.parametrize("name", ["kv_upsert_latest", "kv_sort_merge_dedup", "bitset_or", "kv_floor_ceiling", "adaptive_leaf_buckets"])
 def test_grouping_combines_before_the_shuffle(spark, name):
     assert "partial_" in plan(registry.QUERIES[name](spark, TINY)).replace("functions=[]", "")
+
+
+@pytest.mark.parametrize("name", ["kv_floor_ceiling", "bucket_offsets", "vector_slots", "kv_descending", "adaptive_candidates", "prefix_candidates", "kv_secondary_key"])
+def test_no_rows_meet_in_one_task_or_array(spark, name):
+    text = plan(registry.QUERIES[name](spark, TINY))
+    assert "collect_list" not in text and "collect_set" not in text
+    single = [k for k, line in enumerate(text.splitlines()) if "SinglePartition" in line or "SinglePartition" in line]
+    assert len(single) <= (name == "kv_floor_ceiling") + 2 * (name == "kv_descending")  # one row a range, and no others
