@@ -227,10 +227,10 @@ def kv_checked_bulk_load(spark, sf_dir):
     return kv.checked_unique(orders(spark, sf_dir).select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")
 def kv_bulk_load_ignoring(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return kv.bulk_load(rows, ["l_orderkey"], "l_linenumber", duplicates="ignore")
+    return kv.bulk_load(rows, ["l_orderkey"], "l_linenumber", "l_partkey", duplicates="ignore")
 
 
 def spilled_orders(spark, sf_dir):
