@@ -27,6 +27,15 @@ def test_modes(spark, files):
     assert run(spark, "write", "--vectors", v)["vectors"] == run(spark, "read", "--vectors", v)["vectors"] == 30
 
 
+def test_timing_modes(spark, files):
+    v = str(files / "v.txt")
+    assert run(spark, "latency", "--vectors", v, "--queries", "3")["queries"] == 3
+    got = run(spark, "parallel", "--vectors", v, "--queries", "4", "--threads", "2")
+    assert got["threads"] == 2 and got["min"] <= got["average"] <= got["max"] and got["per_second"] > 0
+    assert run(spark, "storage", "--vectors", v, "--out", str(files / "stored"))["vectors"] == 30
+    assert 0 < run(spark, "accuracy", "--vectors", v, "--queries", "7", "--unindexed", "--set", "normalize=true")["recall"] <= 1
+
+
 def test_stream_mode(spark, files):
     rows = spark.range(6).selectExpr("id AS vector_id", "array(1D, 2D, 0.5D, cast(id AS double)) AS values")
     rows.coalesce(1).write.parquet(str(files / "in"))

@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -41,3 +47,22 @@ def test_descending_view_and_renumbered_load_have_all_rows(spark):
     loaded = {r.vector_id: r.first_unit for r in registry.QUERIES["renumbered_load"](spark, TINY).collect()}
     assert sorted(loaded) == list(range(len(vectors)))
     assert all(abs(loaded[k] - r.embedding[0] / sum(x * x for x in r.embedding) ** 0.5) < 1e-5 for k, r in enumerate(vectors))
+
+
+@pytest.mark.parametrize("cut,works", [("", True), ("llm", True), ("llm corpus_pipeline.py", True), ("broken", False)])
+def test_only_a_missing_subpackage_is_passed_over(tmp_path, cut, works):
+    root = Path(__file__).resolve().parent.parent
+    if cut == "broken" and not (root / "simloom" / "llm").exists():
+        pytest.skip("there is nothing to break")
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "tests", "__pycache__"))
+    if cut.startswith("llm"):
+        shutil.rmtree(copy / "simloom" / "llm", ignore_errors=True)
+    if cut.endswith(".py"):
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    if cut == "broken":
+        (copy / "simloom" / "llm" / "words.py").write_text("import no_such_module\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=copy, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert (done.returncode == 0) == works, done.stderr
+    if cut.startswith("llm"):
+        assert int(done.stdout) == len(registry.QUERIES)
