@@ -351,3 +351,21 @@ def keep_first_rows(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
         return kept
     again = marked.filter("stays").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
     return kept.unionByName(again.select("row.*"))
+
+
+#: DuckDB SQL of the query: every pair of documents that share an n-gram is compared, so it is for small tables.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE ['no words' || chr(10) || text] END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS gram, len(s) AS n FROM g),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+c AS (SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT p.b AS node, c.root FROM c JOIN p ON p.a = c.node),
+k AS (SELECT node, min(root) AS class_id FROM c GROUP BY node),
+l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT g.doc_id, min(g.doc_id) OVER (PARTITION BY g.s) AS rep_id, k.class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM g JOIN k ON k.node = g.doc_id LEFT JOIN l ON l.a = g.doc_id
+"""

@@ -66,4 +66,4 @@ QUERIES = {
         op7_bpe_codec, op8_ngram_jaccard_join, op9_token_counts, op10_media_columns,
     )
 }
-ORACLES = {"op1_exact_topk": topk.TOP_K_SQL, "op3_line_dedup": lines.LINE_DEDUP_SQL}
+ORACLES = {"op1_exact_topk": topk.TOP_K_SQL, "op3_line_dedup": lines.LINE_DEDUP_SQL, "op8_ngram_jaccard_join": neardup.JACCARD_SQL}
