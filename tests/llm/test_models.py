@@ -56,6 +56,19 @@ def test_phrases_against_plain_parsing():
         assert got[k].tolist() == [longest_match_phrases(folded(t), folded(samples[lang])) for t in texts]
 
 
+def test_laid_rows_hold_every_transition_and_no_other():
+    rnd = random.Random(6)
+    samples = {"a": "".join(rnd.choice("abcdefgh ") for _ in range(300)), "b": "".join(chr(0x4E00 + rnd.randrange(200)) for _ in range(300)), "c": ""}
+    parser, base = language.CrossParser(samples), 0
+    for x in parser.langs:
+        steps = language.suffix_automaton((np.searchsorted(parser.alphabet, language.fold([samples[x]])[0]) + 1).tolist())
+        for s, row in enumerate(steps):
+            got = parser.step(np.full(parser.width, base + s), np.arange(parser.width)).tolist()
+            assert got == [row[c] + base if c in row else -1 for c in range(parser.width)]
+        base += len(steps) + 1
+        assert (parser.step(np.full(parser.width, base - 1), np.arange(parser.width)) == -1).all()
+
+
 @pytest.mark.parametrize("lane", [1, 2, 7, 64, 1024])
 def test_long_texts_are_parsed_as_a_whole(monkeypatch, lane):
     monkeypatch.setattr(language, "LANE", lane)
@@ -78,7 +91,7 @@ def test_many_languages_and_large_alphabets():
     rnd = random.Random(2)
     samples = {f"l{k:02d}": "".join(chr(0x4E00 + 300 * k + rnd.randrange(3000)) for _ in range(2500)) for k in range(30)}
     parser = language.CrossParser(samples)
-    assert parser.keys.nbytes + parser.targets.nbytes < 64 << 20
+    assert parser.table.nbytes + parser.base.nbytes < 32 << 20
     texts = [samples[x][500:1500] + samples["l00"][:20] for x in parser.langs]
     assert parser.predict(texts)[0] == parser.langs
     got = parser.phrases(*language.fold(texts[:3]))
@@ -300,3 +313,57 @@ def test_kinds_cover_all_code_points():
     kind, low, upper = words.tables()
     assert kind[ord("é")] == words.LETTER and kind[ord("٣")] == words.DIGIT and kind[ord(" ")] == words.SPACE and kind[ord("!")] == words.OTHER
     assert low[ord("É")] == ord("é") and upper[ord("É")]
+
+
+def test_language_query_against_a_plain_parse(spark):
+    samples = {"en": "the words of this text are plain and there are many more of them", "fr": "les mots de ce texte sont simples et il y en a encore beaucoup"}
+    texts = ["there are many words", "il y a les mots", "zzz", "plain texte qq", "The TEXT, of; mots!"]
+    rows = {r.doc_id: r for r in language.identify(frame(spark, texts), samples).collect()}
+    for k, t in enumerate(texts):
+        letters = folded(t)
+        cost = {x: longest_match_phrases(letters, folded(s)) * np.log2(len(folded(s))) / len(letters) for x, s in samples.items()}
+        best = min(sorted(cost), key=cost.get)
+        alphabet = set("".join(map(folded, samples.values())))
+        known = sum(c in alphabet for c in letters) / len(letters)
+        other = max(cost.values()) if len(set(cost.values())) > 1 else cost[best]
+        assert rows[k].lang_pred == best and abs(rows[k].score - min(1, known * (0.5 + 0.5 * (1 - cost[best] / other)))) < 1e-9
+
+
+def test_quality_query_against_plain_loops(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["good", "plain", "words", "HERE", "12", "!!", "x"]) for _ in range(rnd.randrange(1, 30))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("good" in t), 0) for k, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    vectors, network = quality.fit(df, labels, lambda c: F.lit(True))
+    got = {r.doc_id: r.score for r in quality.classify(df, (vectors, network)).collect()}
+    for k, t in enumerate(texts):
+        (bucket, _), = quality.token_buckets([t])
+        total, n = np.zeros(quality.DIMS), len(bucket)
+        for b in bucket:
+            total = total + vectors[b]
+        x = np.append((total + network.prior * network.average) / (n + network.prior), np.log1p(n) / 10)
+        logit = float(network.w[3])
+        for h in range(quality.HIDDEN):
+            logit += network.w[2][h] * np.tanh(sum((x[d] - network.mean[d]) / network.spread[d] * network.w[0][d, h] for d in range(len(x))) + network.w[1][h])
+        assert abs(got[k] - 1 / (1 + np.exp(-logit / network.temperature))) < 1e-4
+
+
+def test_toxicity_query_against_a_plain_loop(spark, char_model):
+    lexicon = toxicity.Lexicon({"idiot$": 4.0, "^idio": 1.5, "^mor": 9.0, "^moron": 2.0, "scum$": 3.0}, -4.0)
+    texts = ["an 1d10t here", "idiotic moronic stuff", "s c u m", "nothing", "", None, "scum scum idiot", "moron"]
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score_toxicity(frame(spark, texts), (char_model, lexicon)).collect()}
+    for k, t in enumerate(texts):
+        found = set()
+        for w in toxicity.Restorer(char_model).words(t or ""):
+            found |= {w + "$", *("^" + w[:n] for n in (4, 5, 6) if len(w) >= n)}
+        p = 1 / (1 + np.exp(4.0 - sum(lexicon.weights.get(f, 0) for f in found)))
+        assert abs(got[k][0] - p) < 1e-12 and got[k][1] == (p >= 0.5)
+    assert [got[k][1] for k in (0, 3, 4, 5, 6)] == [1, 0, 0, 0, 1]
+
+
+def test_inner_folds_choose_the_shrinkage():
+    rnd = random.Random(4)
+    rows = [(int("t" in bag), rnd.randrange(4), tuple(sorted(bag)), 1) for bag in (set(rnd.sample("tabcd", rnd.randrange(4))) for _ in range(300))]
+    lexicon = toxicity.Sample(rows).learn()
+    assert lexicon.joined({"t": lexicon.weights["t"]}) > 0.5 > lexicon.joined({})
+    assert toxicity.Sample([]).learn().weights == {} and toxicity.Sample([(1, 0, ("a",), 3)]).learn().joined({}) < 0.5
