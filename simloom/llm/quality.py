@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from simloom.llm import common, words
 
-#: Word buckets, dimensions of a word vector, and non-zero places of an index vector.
-BUCKETS, DIMS, PLACES = 8192, 32, 4
-#: Buckets kept for the forms of tokens: words in capitals, of mixed case, said again at once, and digits by length.
+#: Words that have a vector of their own, the most frequent of all texts; buckets that the other words share by a hash.
+VOCABULARY, SHARED = 1 << 16, 1 << 13
+#: Dimensions of a word vector, and non-zero places of an index vector.
+DIMS, PLACES = 32, 4
+#: Vectors kept for the forms of tokens: words in capitals, of mixed case, said again at once, and digits by length.
 FORMS = 16
+#: Word hashes that a task gathers before it adds them up.
+GATHERED = 1 << 20
 #: Labelled documents that the network is fitted on at most, about.
 TRAIN_DOCS = 6000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
@@ -22,19 +26,72 @@ LEAST_SCORE = 0.5
 PRIOR_TOKENS = (16, 8, 4, 2)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs) of each bucket's sparse ternary index vector, from a hash of the bucket."""
-    h = words.mix(np.arange(BUCKETS * PLACES, dtype=np.uint64) + np.uint64(0x1234567))
-    return (h % np.uint64(DIMS)).astype(np.int64).reshape(BUCKETS, PLACES), np.where(h >> np.uint64(40) & np.uint64(1), 1, -1).reshape(BUCKETS, PLACES)
+def index_vectors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the sparse ternary index vectors of n words, from a hash of their numbers."""
+    h = words.mix(np.arange(n * PLACES, dtype=np.uint64) + np.uint64(0x1234567))
+    return (h % np.uint64(DIMS)).astype(np.int64).reshape(n, PLACES), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0).reshape(n, PLACES)
 
 
-def token_buckets(texts: list[str]):
-    """(token buckets, text of each), chunk by chunk: words, runs of other signs, and tokens for forms."""
+def rows_of(vocabulary: np.ndarray) -> int:
+    """Vectors of a model with these words."""
+    return FORMS + SHARED + len(vocabulary)
+
+
+def chunk_runs(texts: list[str]):
+    """(lengths, kinds, hashes, numbers of capitals, parts, texts of parts) of the tokens, chunk by chunk, blanks left out."""
     for owners, parts in words.chunks(texts):
         _, lengths, kind, hashes, uppers, part = words.runs(parts, False)
         keep = kind != words.SPACE
-        lengths, kind, hashes, uppers, part = lengths[keep], kind[keep], hashes[keep], uppers[keep], part[keep]
-        bucket = FORMS + (hashes % np.uint64(BUCKETS - FORMS)).astype(np.int64)
+        yield lengths[keep], kind[keep], hashes[keep], uppers[keep], part[keep], np.array(owners)
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the most frequent words of all texts, at most size: all that occur as often as some least number.
+
+    Each task counts its own words; sums meet by word; a table of how many words occur how often gives the least number.
+    """
+
+    def run(batches):
+        held, n, size_held = [], [], 0
+
+        def add_up():
+            found, at = np.unique(np.concatenate(held), return_inverse=True)
+            return [found], [np.bincount(at, np.concatenate(n)).astype(np.int64)]
+
+        for _, texts in common.text_slices(batches):
+            for _, kind, hashes, _, _, _ in chunk_runs(texts):
+                found, counts = np.unique(hashes[kind != words.DIGIT], return_counts=True)
+                held.append(found)
+                n.append(counts)
+                size_held += len(found)
+            if size_held > GATHERED:
+                held, n = add_up()
+                size_held = 0
+        if held:
+            held, n = add_up()
+            for lo in range(0, len(held[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][lo : lo + (1 << 16)].view(np.int64)), pa.array(n[0][lo : lo + (1 << 16)])], ["word", "n"])
+
+    counts = common.id_text(docs, id_col, text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.cut(counts)
+    level = F.floor(F.log2("n") * 8).cast("int").alias("level")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r.level):
+        total += r.k
+        if total > size:
+            break
+        least = r.n
+    chosen = [] if least is None else [r.word for r in counts.filter(F.col("n") >= least).select("word").collect()]
+    return np.sort(np.array(chosen, np.int64).view(np.uint64))
+
+
+def token_buckets(texts: list[str], vocabulary: np.ndarray):
+    """(numbers of token vectors, text of each), chunk by chunk: words, runs of other signs, and tokens for forms."""
+    for lengths, kind, hashes, uppers, part, owners in chunk_runs(texts):
+        bucket = FORMS + (hashes % np.uint64(SHARED)).astype(np.int64)
+        if len(vocabulary):
+            at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+            bucket = np.where(vocabulary[at] == hashes, FORMS + SHARED + at, bucket)
         bucket = np.where(kind == words.DIGIT, 4 + np.minimum(lengths, 11), bucket)
         letter = kind == words.LETTER
         capitals = letter & (uppers == lengths) & (lengths > 1)
@@ -48,42 +105,42 @@ def token_buckets(texts: list[str]):
         out = np.full(int(n.sum()), 2, np.int64)
         out[at] = bucket
         out[at[form >= 0] - 1] = form[form >= 0]
-        yield out, np.repeat(np.array(owners)[part], n)
+        yield out, np.repeat(owners[part], n)
 
 
-def context_counts(texts: list[str], places, signs) -> np.ndarray:
-    """Buckets x dims: for each bucket the sum of the index vectors of its neighbours on both sides."""
-    total = np.zeros(BUCKETS * DIMS)
-    for bucket, owner in token_buckets(texts):
+def context_counts(texts: list[str], vocabulary: np.ndarray, places, signs) -> np.ndarray:
+    """Words x dims: for each the sum of the index vectors of its neighbours on both sides."""
+    at, signed = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for bucket, owner in token_buckets(texts, vocabulary):
         near = np.flatnonzero(owner[1:] == owner[:-1])
         for a, b in ((bucket[near], bucket[near + 1]), (bucket[near + 1], bucket[near])):
-            for k in range(PLACES):
-                total += np.bincount(a * DIMS + places[b, k], signs[b, k], BUCKETS * DIMS)
-    return total.reshape(BUCKETS, DIMS)
+            at.append((a[:, None] * DIMS + places[b]).ravel())
+            signed.append(signs[b].ravel())
+    return np.bincount(np.concatenate(at), np.concatenate(signed), rows_of(vocabulary) * DIMS).reshape(-1, DIMS)
 
 
-def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Random-indexing vectors of all buckets from all documents: index vector plus centred context of unit length.
+def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Random-indexing vectors of all words from all documents: index vector plus centred context of unit length.
 
-    Each task adds up its own matrix of fixed size; the sums of all tasks meet by bucket, so at most BUCKETS rows come to
-    the driver.
+    Each task adds up its own matrix of fixed size; the sums of all tasks meet by word, and a row a word comes to the driver.
     """
 
     def run(batches):
-        places, signs = index_vectors()
-        total = np.zeros((BUCKETS, DIMS))
-        for _, texts in common.text_slices(batches):
-            total += context_counts(texts, places, signs)
+        places, signs = index_vectors(rows_of(vocabulary))
+        total = np.zeros((rows_of(vocabulary), DIMS))
+        for _, texts in common.text_slices(batches, 2 * common.SLICE_BYTES):
+            total += context_counts(texts, vocabulary, places, signs)
         used = np.flatnonzero(total.any(1))
-        flat = pa.array(total[used].astype(np.int64).ravel())
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * DIMS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), rows], ["bucket", "v"])
+        for lo in range(0, len(used), 4096):
+            mine = used[lo : lo + 4096]
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * DIMS, pa.int32()), pa.array(total[mine].astype(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int32()), rows], ["bucket", "v"])
 
     parts = common.id_text(docs, id_col, text_col).mapInArrow(run, "bucket int, v array<long>")
     sums = parts.groupBy("bucket").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMS)])
-    context = np.zeros((BUCKETS, DIMS))
-    for row in sums.collect():
-        context[row[0]] = row[1:]
+    context = np.zeros((rows_of(vocabulary), DIMS))
+    found = sums.toPandas()
+    context[found["bucket"].to_numpy(np.int64)] = found.drop(columns="bucket").to_numpy(np.float64)
     return vectors_from(context)
 
 
@@ -92,17 +149,17 @@ def vectors_from(context: np.ndarray) -> np.ndarray:
     seen = context.any(1, keepdims=True)
     directions = unit(context)
     centred = np.where(seen, directions - directions.sum(0) / max(1, seen.sum()), 0.0)
-    places, signs = index_vectors()
-    own = np.zeros((BUCKETS, DIMS))
-    np.add.at(own, (np.arange(BUCKETS)[:, None], places), signs)
+    places, signs = index_vectors(len(context))
+    own = np.zeros(context.shape)
+    np.add.at(own, (np.arange(len(own))[:, None], places), signs)
     return (unit(own) + unit(centred)).astype(np.float32)
 
 
-def pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+def pool(texts: list[str], vectors: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Texts x (dims + 1): the mean vector of a text's tokens, and the logarithm of their number."""
     n = np.zeros(len(texts))
     total = np.zeros((len(texts), DIMS))
-    for bucket, owner in token_buckets(texts):
+    for bucket, owner in token_buckets(texts, vocabulary):
         if not len(bucket):
             continue
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -168,24 +225,36 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """(word vectors of all documents, network fitted on about limit labelled ones); no network if there is no label."""
-    vectors = word_vectors(docs, id_col, text_col)
+class Model:
+    """Word vectors, the words that have one of their own, and the network, or None where there was no label."""
+
+    def __init__(self, vectors: np.ndarray, vocabulary: np.ndarray, network: Network | None):
+        self.vectors, self.vocabulary, self.network = vectors, vocabulary, network
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.network is None:
+            return np.full(len(texts), 0.5)
+        return self.network.probability(pool(texts, self.vectors, self.vocabulary))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Word vectors of all documents, and the network fitted on about limit labelled ones; no network if there is no label."""
+    chosen = vocabulary(docs, VOCABULARY, id_col, text_col)
+    vectors = word_vectors(docs, chosen, id_col, text_col)
     sample = common.labelled_sample(docs, labels, label_col, learn, limit, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast((vectors, chosen))
 
     def run(batches):
         for part, texts in common.text_slices(batches):
-            x = pool(texts, vectors)
+            x = pool(texts, *sent.value)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows], ["doc_id", "label", "x"])
 
     rows = sorted(sample.mapInArrow(run, "doc_id long, label int, x array<double>").collect())
-    if not rows:
-        return vectors, None
-    return vectors, Network(np.array([r.x for r in rows]), np.array([r.label for r in rows]))
+    return Model(vectors, chosen, Network(np.array([r.x for r in rows]), np.array([r.label for r in rows])) if rows else None)
 
 
-def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The quality of every whole text: doc_id, score (0 to 1), predicted (1 if score >= LEAST_SCORE).
 
     Null and empty texts have no tokens and are scored as such; without labels every score is 0.5. Repeated rows and null ids
@@ -194,9 +263,8 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        vectors, network = sent.value
         for part, texts in common.text_slices(batches):
-            score = network.probability(pool(texts, vectors)) if network else np.full(len(texts), 0.5)
+            score = sent.value.scores(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= LEAST_SCORE).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")

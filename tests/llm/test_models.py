@@ -158,16 +158,34 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.classify(df, none).collect()} == {0.5} and quality.classify(df.limit(0), model).count() == 0
 
 
+def some_vocabulary():
+    return np.sort(words.word_hashes(["two three"])[0])
+
+
 def test_context_vectors_against_a_loop():
-    texts = ["one two two three!", "two one", "CAPS word WoRd 12"]
-    places, signs = quality.index_vectors()
-    want = np.zeros((quality.BUCKETS, quality.DIMS))
+    texts, known = ["one two two three!", "two one", "CAPS word WoRd 12"], some_vocabulary()
+    n = quality.rows_of(known)
+    places, signs = quality.index_vectors(n)
+    want = np.zeros((n, quality.DIMS))
     for t in texts:
-        (bucket, _), = quality.token_buckets([t])
+        (bucket, _), = quality.token_buckets([t], known)
         for a, b in [*zip(bucket, bucket[1:], strict=False), *zip(bucket[1:], bucket, strict=False)]:
             for p, s in zip(places[b], signs[b], strict=True):
                 want[a, p] += s
-    assert (quality.context_counts(texts, places, signs) == want).all()
+    assert (quality.context_counts(texts, known, places, signs) == want).all()
+
+
+@pytest.mark.parametrize("size,gathered", [(2, 4), (3, 1 << 20), (100, 2), (0, 8)])
+def test_the_most_frequent_words_have_vectors_of_their_own(spark, monkeypatch, size, gathered):
+    monkeypatch.setattr(quality, "GATHERED", gathered)
+    texts = ["aa " * 40 + "bb " * 20, "bb aa cc cc cc cc cc 12 12", None, "", "dd aa AA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = set(quality.vocabulary(df, size).tolist())
+    of = lambda *w: set(words.word_hashes([" ".join(w)])[0].tolist())
+    assert got == {0: set(), 2: of("aa", "bb"), 3: of("aa", "bb", "cc"), 100: of("aa", "bb", "cc", "dd")}[size]
+    known = quality.vocabulary(df, 3)
+    (bucket, _), = quality.token_buckets(["aa bb dd"], known)
+    assert sorted(bucket[:2] >= quality.FORMS + quality.SHARED) == [True, True] and bucket[2] < quality.FORMS + quality.SHARED
 
 
 def test_temperature_makes_probabilities_honest():
@@ -334,10 +352,11 @@ def test_quality_query_against_plain_loops(spark):
     texts = [" ".join(rnd.choice(["good", "plain", "words", "HERE", "12", "!!", "x"]) for _ in range(rnd.randrange(1, 30))) for _ in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(k, int("good" in t), 0) for k, t in enumerate(texts)], "doc_id long, quality int, toxic int")
-    vectors, network = quality.fit(df, labels, lambda c: F.lit(True))
-    got = {r.doc_id: r.score for r in quality.classify(df, (vectors, network)).collect()}
+    model = quality.fit(df, labels, lambda c: F.lit(True))
+    vectors, network = model.vectors, model.network
+    got = {r.doc_id: r.score for r in quality.classify(df, model).collect()}
     for k, t in enumerate(texts):
-        (bucket, _), = quality.token_buckets([t])
+        (bucket, _), = quality.token_buckets([t], model.vocabulary)
         total, n = np.zeros(quality.DIMS), len(bucket)
         for b in bucket:
             total = total + vectors[b]

@@ -91,7 +91,7 @@ def test_stages_take_empty_tables(spark, folder, stage):
 def test_quality_stage_drops_what_the_classifier_rejects(spark, folder, monkeypatch, p):
     network = quality.Network(np.random.default_rng(0).random((20, quality.DIMS + 1)), np.arange(20) % 2)
     network.w[2], network.w[3], network.temperature = np.zeros(quality.HIDDEN), np.log(p / (1 - p)), 1.0
-    model = (np.zeros((quality.BUCKETS, quality.DIMS), np.float32), network)
+    model = quality.Model(np.zeros((quality.rows_of(np.zeros(0)), quality.DIMS), np.float32), np.zeros(0, np.uint64), network)
     monkeypatch.setattr(quality, "fit", lambda *a: model)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.keep_good_quality(spark, docs, folder).collect()}
