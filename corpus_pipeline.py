@@ -28,8 +28,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     sent = spark.sparkContext.broadcast(model)
 
     def keep(texts):
-        vectors, network = sent.value
-        return network.probability(quality.pool(texts, vectors)) >= quality.LEAST_SCORE if network else [True] * len(texts)
+        return sent.value.scores(texts) >= quality.LEAST_SCORE if sent.value.network else [True] * len(texts)
 
     return common.filter_texts(docs, keep)
 
