@@ -152,18 +152,45 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, part_rows: int = BU
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def sparse_join(sparse: DataFrame, threshold: float, post: DataFrame | None = None, queries=None) -> DataFrame:
-    """Pairs of sparse vectors by inner product through shared dimensions, at least threshold.
+def telling_postings(post: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """Those postings of queries that a partner at the threshold must share one of.
+
+    A product on a dimension is at most the query's weight times the dimension's largest. Taken from the most frequent
+    dimension on, as long as these bounds add up to less than the threshold, dimensions alone reach it with no partner.
+    """
+    most = post.groupBy("dimension").agg(F.max(F.abs("value")).alias("_most"), F.count("*").alias("_n"))
+    bounded = queries.join(most, "dimension")
+    so_far = Window.partitionBy("vector_id").orderBy(F.desc("_n"), "dimension").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.sum(F.abs("value") * F.col("_most")).over(so_far)
+    return bounded.withColumn("_reached", reached).filter(F.col("_reached") >= threshold * (1 - 1e-9)).select("dimension", "vector_id", "value")
+
+
+def sparse_join(sparse: DataFrame, threshold: float, queries=None) -> DataFrame:
+    """Pairs of sparse vectors that share a dimension, by inner product, at least threshold.
 
     Without queries (a condition on vector_id) each pair comes once, query_id < neighbor_id; with it, the vectors that it
-    names are held against all others. Dimensions are salted like hot buckets; products are summed map-side before the
-    shuffle by pair.
+    names are held against all others. With a threshold over 0, only the telling dimensions of a vector (see
+    telling_postings) make candidates, whose products are then taken from the vectors; else products are summed map-side.
+    Dimensions are salted like hot buckets.
     """
-    post = postings(sparse) if post is None else post
+    post = postings(sparse)
+    asking = post if queries is None else post.filter(queries)
+    if threshold > 0:
+        asking = telling_postings(post, asking, threshold)
     counts = post.groupBy("dimension").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("salts"))
-    sized = post.join(counts, "dimension")
-    n = sized.select("dimension", F.pmod(F.xxhash64("vector_id"), "salts").cast("int").alias("salt"), F.col("vector_id").alias("neighbor_id"), F.col("value").alias("b"))
-    asking = sized if queries is None else sized.filter(queries)
-    q = asking.select("dimension", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vector_id").alias("query_id"), F.col("value").alias("a"))
-    pairs = q.join(n, ["dimension", "salt"]).filter("query_id < neighbor_id" if queries is None else "query_id <> neighbor_id")
-    return pairs.groupBy("query_id", "neighbor_id").agg(F.sum(F.col("a") * F.col("b")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    n = post.join(counts, "dimension").select("dimension", F.pmod(F.xxhash64("vector_id"), "salts").cast("int").alias("salt"), F.col("vector_id").alias("neighbor_id"), F.col("value").alias("b"))
+    q = asking.join(counts, "dimension").select("dimension", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("vector_id").alias("query_id"), F.col("value").alias("a"))
+    pairs = q.join(n, ["dimension", "salt"])
+    if threshold > 0:
+        # without queries both vectors of a pair ask, so it is found from either side
+        pairs = pairs.filter("query_id <> neighbor_id").select("query_id", "neighbor_id")
+        if queries is None:
+            pairs = pairs.select(F.least("query_id", "neighbor_id").alias("query_id"), F.greatest("query_id", "neighbor_id").alias("neighbor_id"))
+        left = sparse.select(F.col("vector_id").alias("query_id"), F.col("indices").alias("_i"), F.col("values").alias("_v"))
+        right = sparse.select(F.col("vector_id").alias("neighbor_id"), F.col("indices").alias("_j"), F.col("values").alias("_w"))
+        both = pairs.distinct().join(left, "query_id").join(right, "neighbor_id")
+        scored = both.select("query_id", "neighbor_id", similarity.sparse_dot(F.col("_i"), F.col("_v"), F.col("_j"), F.col("_w")).alias("similarity"))
+    else:
+        pairs = pairs.filter("query_id < neighbor_id" if queries is None else "query_id <> neighbor_id")
+        scored = pairs.groupBy("query_id", "neighbor_id").agg(F.sum(F.col("a") * F.col("b")).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold)

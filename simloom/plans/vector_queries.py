@@ -423,6 +423,19 @@ def token_postings(spark, sf_dir):
     return joined.select("dimension", "vector_id", "value")
 
 
+@query("""WITH t AS (SELECT doc_id AS vector_id, unnest(string_split_regex(trim(lower(text)), '\\s+')) AS token FROM documents WHERE text IS NOT NULL),
+c AS (SELECT vector_id, token, CAST(count(*) AS DOUBLE) AS value FROM t WHERE token <> '' GROUP BY ALL)
+SELECT a.vector_id AS query_id, b.vector_id AS neighbor_id, sum(a.value * b.value) AS similarity
+FROM c a JOIN c b USING (token) WHERE a.vector_id % 20 = 0 AND a.vector_id <> b.vector_id GROUP BY 1, 2 HAVING sum(a.value * b.value) >= 20000""")
+def token_dot_join(spark, sf_dir):
+    """Documents of the stated query set against all, by inner product of token counts."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vector_id"), F.explode(F.split(F.trim(F.lower("text")), r"\s+")).alias("i"))
+    counts = words.filter("i <> ''").groupBy("vector_id", "i").agg(F.count("*").cast("double").alias("v"))
+    sparse = counts.groupBy("vector_id").agg(F.collect_list(F.struct("i", "v")).alias("p"))
+    sparse = shared.cut(sparse.select("vector_id", F.col("p.i").alias("indices"), F.col("p.v").alias("values")))
+    return search.sparse_join(sparse, 20_000.0, queries="vector_id % 20 = 0")
+
+
 def order_sets(spark, sf_dir):
     a = bitset.words(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'"), "o_orderkey")
     b = bitset.words(table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'"), "l_orderkey")
@@ -479,10 +492,10 @@ def renumbered_load(spark, sf_dir):
     return out.select("vector_id", F.round(vectors.normalize(F.col("values"))[0], 6).alias("first_unit"))
 
 
-@query(f"WITH {VECTORS_SQL} SELECT row_number() OVER (ORDER BY vector_id) - 1 AS vector_id, round(e[1], 6) AS first_value FROM v QUALIFY vector_id < 150")
+@query(f"WITH {VECTORS_SQL} SELECT row_number() OVER (ORDER BY vector_id) - 1 AS new_id, round(e[1], 6) AS first_value FROM v QUALIFY new_id < 150")
 def capped_load(spark, sf_dir):
     """The first 150 vectors under new ids: the cap is what a capped load is for."""
-    return text.load_capped(embeddings(spark, sf_dir), 150).select("vector_id", F.round(F.col("values")[0], 6).alias("first_value"))
+    return text.load_capped(embeddings(spark, sf_dir), 150).select(F.col("vector_id").alias("new_id"), F.round(F.col("values")[0], 6).alias("first_value"))
 
 
 @query(f"""{SCORED_SQL}, tr AS (SELECT a.vector_id AS query_id, b.vector_id AS neighbor_id, list_dot_product(a.e, b.e) AS similarity FROM v a JOIN v b ON b.vector_id % 20 <> 0 WHERE a.vector_id % 20 = 0),

@@ -91,6 +91,15 @@ def test_scramble_matches_numpy(spark):
     assert got == scrambled(np.array(x)).tolist()
 
 
-def test_signed_scramble_is_never_negative(spark):
-    low = spark.createDataFrame([(-5,), (2**31 - 1,), (-(2**31),)], "x int").select(hashing.scramble_signed(F.col("x")).alias("h")).agg(F.min("h")).first()[0]
-    assert low is not None
+def test_signed_scramble_matches_a_plain_loop(spark):
+    def signed(x):
+        return (x + 2**31) % 2**32 - 2**31
+
+    def plain(x):
+        for _ in range(2):
+            x = signed(((x >> 16) ^ x) * 0x45D9F3B)
+        return (x >> 16) ^ x
+
+    x = [-5, -1, 0, 1, 77, 2**31 - 1, -(2**31), 123456789]
+    got = [r.h for r in spark.createDataFrame([(v,) for v in x], "x int").select(hashing.scramble_signed(F.col("x")).alias("h")).collect()]
+    assert got == [plain(v) for v in x]

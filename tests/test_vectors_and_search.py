@@ -190,6 +190,30 @@ def test_sparse_join_against_brute_force(spark):
     assert got == [(1, 2, 6.0)]
 
 
+@pytest.mark.parametrize("threshold", [-1.0, 0.5, 3.0, 8.0])
+def test_telling_dimensions_lose_no_pair(spark, threshold):
+    rnd = random.Random(int(threshold))
+    rows = []
+    for k in range(60):
+        at = sorted(rnd.sample(range(30), 8) if k % 3 else [0, 1, *rnd.sample(range(2, 30), 4)])
+        rows.append((k, 30, at, [round(rnd.uniform(-1, 2), 2) for _ in at]))
+    dense = {k: dict(zip(i, v, strict=True)) for k, _, i, v in rows}
+    dot = lambda a, b: sum(x * dense[b].get(d, 0) for d, x in dense[a].items())
+    share = lambda a, b: dense[a].keys() & dense[b].keys()
+    df = spark.createDataFrame(rows, vectors.SPARSE)
+    got = sorted((r.query_id, r.neighbor_id) for r in search.sparse_join(df, threshold).collect())
+    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if share(a, b) and dot(a, b) >= threshold]
+    asked = sorted((r.query_id, r.neighbor_id) for r in search.sparse_join(df, threshold, queries="vector_id % 20 = 0").collect())
+    assert asked == [(a, b) for a in range(0, 60, 20) for b in range(60) if a != b and share(a, b) and dot(a, b) >= threshold]
+
+
+def test_hot_keys_are_dealt_by_salts(spark):
+    rows = spark.createDataFrame([("hot" if k % 3 else f"k{k}", k) for k in range(90)], "token string, vector_id long")
+    table = rows.select("token").distinct().withColumn("n", F.length("token"))
+    got = search.salted_join(rows, table, "token", part_rows=7)
+    assert sorted(map(tuple, got.select("token", "vector_id", "n").collect())) == sorted((r.token, r.vector_id, len(r.token)) for r in rows.collect())
+
+
 def test_percentiles_take_the_element_at_the_place(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 3, 9, 9, 9, 2, 7, 8]], "x double")
     got = {r.share: r.value for r in evaluate.percentile_summary(df, "x").collect()}
