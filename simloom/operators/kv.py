@@ -29,6 +29,16 @@ def contains_value(df: DataFrame, value: str, wanted) -> bool:
     return not df.filter(F.col(value).eqNullSafe(F.lit(wanted))).isEmpty()
 
 
+def size(df: DataFrame) -> DataFrame:
+    """One row: n, and whether there is none."""
+    return df.agg(F.count("*").alias("n"), (F.count("*") == 0).alias("is_empty"))
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """The collection without its entries."""
+    return df.filter(F.lit(False))
+
+
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last version of each key by the order columns. Rows are combined map-side, so a hot key is no hot task."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from simloom.plans import kv_queries, vector_queries
+from simloom.plans import form_queries, kv_queries, vector_queries
 
 QUERIES, ORACLES = vector_queries.QUERIES, vector_queries.ORACLES
-assert kv_queries  # its queries are registered on import
+assert kv_queries and form_queries  # their queries are registered on import
 
 
 def flagship(spark, sf_dir):

@@ -231,16 +231,16 @@ def ls_partition_assignment(spark, sf_dir):
 GEOMETRY = adaptive.Geometry(bucket_bits=28, directory_size=8, hash_bits=32, overflow=4)
 
 
-def leaves_sql() -> str:
-    shifts = range(GEOMETRY.top_level * GEOMETRY.level_bits, -1, -GEOMETRY.level_bits)
-    parts, names = ["CAST(u >> 28 AS VARCHAR)"], []
+def leaves_sql(geometry: adaptive.Geometry = GEOMETRY) -> str:
+    shifts = range(geometry.top_level * geometry.level_bits, -1, -geometry.level_bits)
+    parts, names = [f"CAST(u >> {geometry.bucket_bits} AS VARCHAR)"], []
     for s in shifts:
-        parts.append(f"CAST((u >> {s}) & 7 AS VARCHAR)")
+        parts.append(f"CAST((u >> {s}) & {geometry.directory_size - 1} AS VARCHAR)")
         names.append(f"concat_ws('/', {', '.join(parts)}) AS p{len(names)}")
     last = len(names) - 1
     counts = ", ".join(f"count(*) OVER (PARTITION BY table_id, p{i}) AS c{i}" for i in range(last))
-    leaf = " ".join(f"WHEN c{i} <= {GEOMETRY.overflow} THEN p{i}" for i in range(last))
-    depth = " ".join(f"WHEN c{i} <= {GEOMETRY.overflow} THEN {i + 1}" for i in range(last))
+    leaf = " ".join(f"WHEN c{i} <= {geometry.overflow} THEN p{i}" for i in range(last))
+    depth = " ".join(f"WHEN c{i} <= {geometry.overflow} THEN {i + 1}" for i in range(last))
     return f"""WITH {VECTORS_SQL}, {keys_sql('k', 'p', 4, 16)}, paths AS (SELECT table_id, bucket_key, vector_id, {', '.join(names)} FROM k),
 counted AS (SELECT *, {counts} FROM paths),
 leaves AS (SELECT table_id, bucket_key, vector_id, CASE {leaf} ELSE p{last} END AS leaf, CAST(CASE {depth} ELSE {last + 1} END AS INTEGER) AS depth FROM counted)"""

@@ -93,6 +93,8 @@ class SpilledCollection:
     def lookup(self, values: list) -> DataFrame:
         """Rows of the given keys with age: 0 for those in memory, then 1 for the newest generation, and so on."""
         self.maybe_spill()
+        if self.memory is None and not self.generations:
+            raise ValueError("nothing was put into the collection")
         parts = [] if self.memory is None else [self.memory.filter(F.col(self.key).isin(values)).withColumn("age", F.lit(0))]
         newest = self.generations
         for k in range(self.generations):

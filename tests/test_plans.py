@@ -6,7 +6,7 @@ import pytest
 from simloom.plans import registry
 
 TINY = "/root/testdata/sf0.001"
-EAGER = ("stream_", "renumbered_", "token_", "kv_transactions", "spilled_")
+EAGER = ("stream_", "renumbered_", "token_", "kv_transactions", "spilled_", "vector_files_", "index_written_", "kv_snapshot", "kv_catalog_", "kv_sizes")
 
 
 def plan(df):
