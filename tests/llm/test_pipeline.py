@@ -97,3 +97,33 @@ def test_quality_stage_drops_what_the_classifier_rejects(spark, folder, monkeypa
     kept = {r.doc_id for r in corpus_pipeline.keep_good_quality(spark, docs, folder).collect()}
     assert kept == {r.doc_id for r in quality.classify(docs, model).filter("predicted = 1").collect()}
     assert len(kept) == (docs.count() if p > 0.5 else 0)
+
+
+def test_stages_take_nulls_repeated_ids_long_texts_and_clashing_names(spark, folder):
+    base = spark.read.parquet(f"{folder}/documents.parquet")
+    first = base.filter("doc_id = 0").first()
+    other = base.filter("doc_id = 1").first()
+    long_text = "\n".join(f"{first.text.split(chr(10))[k % 4]} {k}" for k in range(4000))
+    rows = [
+        (None, first.text, None, None, None), (None, None, None, None, None), (7, first.text, "fr", "s", 1), (7, first.text, "fr", "s", 1), (7, other.text, "en", "s", 2),
+        (8, first.text, "fr", "s", 3), (9, long_text, "fr", "s", None), (10, "", "en", None, 0), (11, other.text.upper(), None, "s", 5),
+    ]
+    docs = spark.createDataFrame([(*r, k, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row long, text_hash string, doc long")
+    marks = lambda df: sorted(r["row"] for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name == "packing":
+            assert {str(r.doc_id) for r in out.collect()} == {"None", "7", "8", "9", "10", "11"}
+            continue
+        assert out.columns == docs.columns and set(marks(out)) <= set(range(len(rows)))
+        if name == "line_dedup":
+            got = {r["row"]: r for r in out.collect()}
+            assert sorted(got) == list(range(len(rows))) and got[0].text == first.text and got[5].text == "" and got[6].text.count("\n") == 3999
+        if name == "near_copies":
+            assert [2 if k == 3 else k for k in marks(out)] == [0, 1, 2, 4, 6, 7]
+
+
+def test_equal_documents_tie_to_the_smallest_id(spark, folder):
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, text + (" more" if k % 2 else ""), "en", "s", 1) for k in (5, 3, 9, 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, folder).collect()] == [3]
