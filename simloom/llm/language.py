@@ -16,8 +16,8 @@ from simloom.llm import common
 SAMPLE_DOCS, SAMPLE_CHARS = 24, 4000
 #: Letters of one lane; lanes are parsed side by side and then joined, which has no effect on results.
 LANE = 1024
-#: Slots of the table of transitions for each transition, at least.
-SLOTS = 3
+#: Free places that are tried for a state of several transitions before the search for the next ones begins further on.
+TRIES = 8
 UNKNOWN = "und"
 #: Scores under this are rejected by the pipeline.
 LEAST_SCORE = 0.3
@@ -81,8 +81,9 @@ class CrossParser:
     """Counts the phrases that texts need in terms of each language's sample.
 
     A phrase is the longest match of what follows in the sample, or one unknown letter. The transitions of all automata stand
-    in one hash table of (state, letter); where it has none, the phrase ends and a new one begins with the letter. An unknown
-    letter leads to a state of its language that no letter goes on from.
+    in one table in which rows of states are laid over one another: place base[state] + letter holds a state and its next one,
+    and is a transition only if that state is the one asked for. Where there is none, the phrase ends and a new one begins with
+    the letter. An unknown letter leads to a state of its language that no letter goes on from.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -91,7 +92,7 @@ class CrossParser:
         self.alphabet = np.unique(np.concatenate([*folded.values(), np.array([32], np.uint32)]))
         self.width = len(self.alphabet) + 1
         self.first = np.zeros((len(self.langs), self.width), np.int64)
-        keys, targets, base, cost = [], [], 0, []
+        rows, letters_of, next_of, base, cost = [], [], [], 0, []
         for k, x in enumerate(self.langs):
             text = (np.searchsorted(self.alphabet, folded[x]) + 1).tolist()
             steps = suffix_automaton(text)
@@ -100,42 +101,56 @@ class CrossParser:
             to = np.array([n for t in steps for n in t.values()], np.int64) + base
             self.first[k] = base + len(steps)
             self.first[k, letters[states == 0]] = to[states == 0]
-            keys.append((states + base) * self.width + letters)
-            targets.append(to)
+            rows.append(states + base)
+            letters_of.append(letters)
+            next_of.append(to)
             cost.append(np.log2(max(2, len(text))))
             base += len(steps) + 1
+        if base >= 1 << 31:
+            raise ValueError("the samples have too many states")
         self.cost = np.array(cost)
-        self._fill(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *targets]))
-
-    def _fill(self, keys: np.ndarray, targets: np.ndarray) -> None:
-        bits = max(4, int(SLOTS * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
-        at = self._home(keys)
-        while len(keys):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[free]  # of several for one slot the last stays
-            mine = self.keys[at] == keys
-            self.targets[at[mine]] = targets[mine]
-            keys, targets, at = keys[~mine], targets[~mine], (at[~mine] + 1) & self.mask
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        none = np.zeros(0, np.int64)
+        self._fill(base, np.concatenate([none, *rows]), np.concatenate([none, *letters_of]), np.concatenate([none, *next_of]))
+
+    def _fill(self, states: int, row: np.ndarray, letter: np.ndarray, to: np.ndarray) -> None:
+        """Lay the rows over one another: those of several letters first fit, the largest first, then those of one letter into what is free."""
+        degree = np.bincount(row, minlength=states)
+        self.base = np.zeros(states, np.int64)
+        ends = np.cumsum(degree)
+        order = np.argsort(-degree, kind="stable")
+        many = order[: int((degree > 1).sum())]
+        width, used, start = self.width, bytearray(2 * self.width), self.width
+        in_rows = letter[np.argsort(row, kind="stable")].tolist()
+        for s, n, end in zip(many.tolist(), degree[many].tolist(), ends[many].tolist(), strict=True):
+            mine = in_rows[end - n : end]
+            at, first, rest, tried = start - 1, mine[0], mine[1:], 0
+            while True:
+                at = used.find(0, at + 1)
+                if at < 0 or at + width >= len(used):
+                    at = len(used) if at < 0 else at
+                    used.extend(bytes(len(used) + 2 * width))
+                if not any(used[at - first + c] for c in rest):
+                    break
+                tried += 1
+            if tried >= TRIES:
+                start = at
+            self.base[s] = at - first
+            for c in mine:
+                used[at - first + c] = 1
+        used = used[: used.rfind(1) + 1].ljust(width, b"\0")
+        one = order[len(many) : int((degree > 0).sum())]
+        free = np.flatnonzero(np.frombuffer(used, np.uint8)[width:] == 0) + width
+        free = np.concatenate([free, len(used) + np.arange(max(0, len(one) - len(free)))])[: len(one)]
+        single = np.zeros(states, np.int64)
+        single[row] = letter
+        self.base[one] = free - single[one]
+        self.table = np.full(max(len(used), int(free.max(initial=0)) + 1) + width, -1, np.int64)
+        self.table[self.base[row] + letter] = row << 32 | to
 
     def step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The next state of each, or -1 where the match does not go on."""
-        keys = (states * self.width + letters).ravel()
-        at = self._home(keys)
-        got = self.keys[at]
-        out = np.where(got == keys, self.targets[at], -1)
-        open_at = np.flatnonzero((got != keys) & (got >= 0))
-        while len(open_at):
-            slot = at[open_at] = (at[open_at] + 1) & self.mask
-            got, wanted = self.keys[slot], keys[open_at]
-            hit = got == wanted
-            out[open_at[hit]] = self.targets[slot[hit]]
-            open_at = open_at[~hit & (got >= 0)]
-        return out.reshape(states.shape)
+        found = self.table[self.base[states] + letters]
+        return np.where(found >> 32 == states, found & 0xFFFFFFFF, -1)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
