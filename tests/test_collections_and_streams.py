@@ -178,13 +178,13 @@ def test_merging_changes_no_answer(spark, tmp_path):
 
 def test_a_batch_that_runs_again_after_a_merge_finds_the_same(spark, tmp_path):
     s = state(spark, tmp_path, merge_threshold=2)
-    for k in range(4):
+    for k in range(3):
         s.process(batch(spark, 2 * k, 2 * k + 1), k)
         before = answers(s)
         for again in {0, k}:
             s.process(batch(spark, 2 * again, 2 * again + 1), again)
             assert answers(s) == before == [(a, b) for a in range(2 * k + 2) for b in range(a)]
-    assert s.vectors().count() == 8 and s.index().count() == 16
+    assert s.vectors().count() == 6 and s.index().count() == 12
 
 
 def test_a_merge_cut_short_is_finished_by_the_next(spark, tmp_path, monkeypatch):
