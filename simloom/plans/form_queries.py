@@ -56,11 +56,11 @@ def vector_forms_agree(spark, sf_dir):
     v = embeddings(spark, sf_dir)
     rows = v.select("vector_id", "values", vectors.dense_to_sparse(F.col("values")).alias("s"))
     args = [F.col("vector_id"), F.col("s.size"), F.col("s.indices"), F.col("s.values")]
-    dense = lambda s: vectors.to_dense(s["size"], s["indices"], s["values"])
-    forms = [vectors.parse(vectors.format_form_one(*args)), vectors.parse(vectors.format_form_two(*args)), F.col("s")]
+    forms = {"one": vectors.parse(vectors.format_form_one(*args)), "two": vectors.parse(vectors.format_form_two(*args)), "three": F.col("s")}
+    rows = shared.cut(rows.select("vector_id", "values", *[x.alias(c) for c, x in forms.items()]))  # parsed once, not once a component
     own = F.lit(True)
-    for form in forms:
-        own &= vectors.same_vector(F.col("values"), dense(form))
+    for c in forms:
+        own &= vectors.same_vector(F.col("values"), vectors.to_dense(F.col(f"{c}.size"), F.col(f"{c}.indices"), F.col(f"{c}.values")))
     following = v.select((F.col("vector_id") - 1).alias("vector_id"), F.col("values").alias("next_values"))
     total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
     return rows.withColumn("own_forms", own).join(following, "vector_id", "left").select(
