@@ -191,7 +191,7 @@ def test_sparse_join_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("threshold", [-1.0, 0.5, 3.0, 8.0])
-def test_telling_dimensions_lose_no_pair(spark, threshold):
+def test_sparse_joins_against_plain_sums(spark, threshold):
     rnd = random.Random(int(threshold))
     rows = []
     for k in range(60):
