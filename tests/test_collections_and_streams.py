@@ -38,6 +38,15 @@ def test_navigation_against_a_sorted_list(spark):
         assert (got[p].floor, got[p].lower, got[p].ceiling, got[p].higher) == want
 
 
+def test_navigation_reads_a_range_once(spark, capsys):
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    found = kv.navigate(spark.range(-2, 3010).withColumnRenamed("id", "p"), "p", df, "k")
+    for r in found.collect():
+        assert r.floor == (None if r.p < 0 else min(r.p // 3 * 3, 2997)) and r.higher == (None if r.p >= 2997 else max(r.p // 3 * 3 + 3, 0))
+    found.explain("formatted")
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
 def test_queues_and_uniqueness(spark):
     df = spark.range(10).withColumnRenamed("id", "n")
     take = lambda kind: [r.n for r in sorted(kv.queue(df, "n", 3, kind).collect(), key=lambda r: r.position)]
