@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions import similarity
+from simloom.operators import blocks
 from simloom.sources import shared
 
 #: A hot bucket is split by salts so that each part has at most about so many rows.
@@ -56,15 +57,29 @@ def top_k(scored: DataFrame, k: int, order: str = "similarity") -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def lsh_search(vectors: DataFrame, index: DataFrame, k: int, threshold: float, order: str = "similarity", queries: DataFrame | None = None, query_index: DataFrame | None = None) -> DataFrame:
+def scored(
+    vectors: DataFrame, index: DataFrame, threshold: float | None = None, k: int | None = None, order: str = "similarity", earlier_only: bool = False,
+    queries: DataFrame | None = None, query_index: DataFrame | None = None, vector_id: str = "vector_id", values: str = "values",
+) -> DataFrame:
+    """candidates, verified: (query_id, neighbor_id, similarity) of vectors that share a bucket, with at least the threshold.
+
+    Pairs are never shuffled: vectors are packed into blocks with their buckets, and what two blocks have in common is found
+    where they meet. With k, the k first neighbours are there, and others may be; top_k picks them.
+    """
+    stored = blocks.keyed(vectors, index, vector_id, values)
+    own = queries is None and query_index is None
+    asking = stored if own else blocks.keyed(vectors if queries is None else queries, index if query_index is None else query_index, vector_id, values)
+    return blocks.search(asking, stored, threshold, k, order, earlier_only)
+
+
+def lsh_search(vectors: DataFrame, index: DataFrame, k: int, threshold: float | None, order: str = "similarity", queries: DataFrame | None = None, query_index: DataFrame | None = None) -> DataFrame:
     """Approximate search: bucket candidates, exact verification, threshold, and the k first of each query."""
-    pairs = candidates(query_index if query_index is not None else index, index)
-    return top_k(verify(pairs, vectors, threshold, queries=queries), k, order)
+    return top_k(scored(vectors, index, threshold, k, order, queries=queries, query_index=query_index), k, order)
 
 
 def search_then_insert(vectors: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """Every vector against those that came before it (smaller ids), as a stream that searches first and inserts then answers."""
-    return verify(candidates(index, index, earlier_only=True), vectors, threshold)
+    return scored(vectors, index, threshold, earlier_only=True)
 
 
 def exact_knn(

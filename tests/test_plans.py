@@ -3,6 +3,7 @@ import io
 
 import pytest
 
+from simloom.operators import search
 from simloom.plans import registry
 
 TINY = "/root/testdata/sf0.001"
@@ -39,3 +40,15 @@ def test_no_rows_meet_in_one_task_or_array(spark, name):
     assert "collect_list" not in text and "collect_set" not in text
     single = [k for k, line in enumerate(text.splitlines()) if "SinglePartition" in line or "SinglePartition" in line]
     assert len(single) <= (name == "kv_floor_ceiling") + 2 * (name == "kv_descending")  # one row a range, and no others
+
+
+PAIRS_STAY = ["ann_mean_ratio", "ann_recall", "ann_ratio", "ann_recall_unindexed_queries", "lsh_topk_similarity", "lsh_topk_by_id", "lsh_search_then_insert", "stream_search_then_insert", "stream_compaction"]
+
+
+@pytest.mark.parametrize("name", PAIRS_STAY)
+def test_candidate_pairs_are_not_shuffled(spark, name, monkeypatch):
+    def shuffled(*_, **__):
+        raise AssertionError("candidate pairs are rows of a shuffle")
+
+    monkeypatch.setattr(search, "candidates", shuffled)
+    assert registry.QUERIES[name](spark, TINY).count() > 0

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from simloom.functions import similarity, vectors
-from simloom.operators import adaptive, evaluate, index, search
+from simloom.operators import adaptive, blocks, evaluate, index, search
 from simloom.operators.families import AngleFamily, scrambled_planes
 from simloom.sources import text
 
@@ -227,3 +227,26 @@ def test_numbering_and_synthetic(spark):
     assert [n for _, n in got] == list(range(100))
     assert text.synthetic(spark, 50, 10, 1.0).filter(F.size("indices") > 0).count() == 0
     assert text.load_capped(spark.createDataFrame([(9,), (4,), (7,)], "vector_id long"), 2).count() == 2
+
+
+@pytest.mark.parametrize("chain", [1, 3, 12])
+@pytest.mark.parametrize(("threshold", "k", "order"), [(None, 3, "similarity"), (0.0, 2, "id"), (0.4, None, "similarity"), (None, None, "similarity")])
+def test_scored_blocks_against_pairs(spark, monkeypatch, chain, threshold, k, order):
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    monkeypatch.setattr(blocks, "KEPT", 2)
+    x = np.random.default_rng(chain).normal(size=(150, 8))
+    x[60:75] = x[5]  # copies, of which the smaller ids come first
+    ids = [*range(145), 3, 3, 4, 7, 7]  # ids that repeat have the buckets of all their rows
+    v = dense(spark, list(zip(ids, x, strict=True)))
+    i = index.build_index(v, AngleFamily(scrambled_planes(4, chain, 8))).filter("table_id > 0 OR vector_id % 3 > 0")
+    asked = "vector_id % 2 = 0"
+    queries, query_index = v.filter(asked), i.filter(asked)
+    got = search.scored(v, i, threshold, k, order, queries=queries, query_index=query_index)
+    want = search.verify(search.candidates(query_index, i), v, threshold, queries=queries)
+    if k:
+        got, want = search.top_k(got, k, order), search.top_k(want, k, order)
+    columns = ["query_id", "neighbor_id"] if order == "id" else ["query_id", "neighbor_id", "similarity"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows(got) == rows(want)
+    if not k:
+        assert rows(search.scored(v, i, threshold, earlier_only=True)) == rows(search.verify(search.candidates(i, i, earlier_only=True), v, threshold))
