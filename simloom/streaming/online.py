@@ -71,9 +71,8 @@ class OnlineIndex:
         fresh = self._write(batch_df.select("vector_id", F.col("values").cast("array<double>").alias("values")), "vectors", batch)
         keys = self._write(self.family.exploded(fresh), "delta", batch)
         stored, known = (self._read(kinds, schema, batch).drop("batch") for kinds, schema in ((("static", "delta"), INDEX), (("static_vectors", "vectors"), VECTOR)))
-        pairs = search.candidates(keys, stored, keep_self=True).filter("query_id <> neighbor_id")
-        pairs = pairs.unionByName(search.candidates(keys, keys, earlier_only=True)).distinct()
-        scored = search.verify(pairs, known.unionByName(fresh), self.threshold, queries=fresh).distinct()  # stored rows may be there twice
+        before = search.scored(known, stored, self.threshold, queries=fresh, query_index=keys)
+        scored = before.unionByName(search.scored(fresh, keys, self.threshold, earlier_only=True)).distinct()  # stored rows may be there twice
         if self.top_k:
             scored = search.top_k(scored, self.top_k, self.order).drop("rank")
         scored.write.mode("overwrite").parquet(f"{self.root}/results/{batch:012d}")
