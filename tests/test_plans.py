@@ -52,3 +52,11 @@ def test_candidate_pairs_are_not_shuffled(spark, name, monkeypatch):
 
     monkeypatch.setattr(search, "candidates", shuffled)
     assert registry.QUERIES[name](spark, TINY).count() > 0
+
+
+def test_products_of_tokens_are_not_joined(spark, monkeypatch):
+    def joined(*_, **__):
+        raise AssertionError("products of frequent tokens are rows of a join")
+
+    monkeypatch.setattr(search, "sparse_join", joined)
+    registry.QUERIES["token_dot_join"](spark, TINY).collect()

@@ -250,3 +250,23 @@ def test_scored_blocks_against_pairs(spark, monkeypatch, chain, threshold, k, or
     assert rows(got) == rows(want)
     if not k:
         assert rows(search.scored(v, i, threshold, earlier_only=True)) == rows(search.verify(search.candidates(i, i, earlier_only=True), v, threshold))
+
+
+def test_sparse_search_against_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 16)
+    monkeypatch.setattr(blocks, "ENTRIES", 50)
+    rnd = random.Random(3)
+    rows = []
+    for k in range(120):
+        words = rnd.sample("abcdefghijklmnopqrstuvwxyz", rnd.choice([0, 1, 4, 20]))
+        rows.append((k, words, [float(rnd.choice([1, 2, 30]) * rnd.choice([1, 1, -1])) for _ in words]))
+    rows += [(None, ["a"], [900.0])]
+    at = {k: dict(zip(i, v, strict=True)) for k, i, v in rows if k is not None}
+    dot = lambda a, b: sum(x * at[b].get(d, 0) for d, x in at[a].items())
+    df = spark.createDataFrame(rows, "vector_id long, indices array<string>, values array<double>")
+    for threshold in (0.5, 400.0, 1e9):
+        got = sorted(map(tuple, blocks.sparse_search(df, threshold, F.col("vector_id") % 20 == 0).collect()))
+        assert got == [(a, b, dot(a, b)) for a in range(0, 120, 20) for b in range(120) if a != b and dot(a, b) >= threshold]
+    assert blocks.sparse_search(df.limit(0), 1.0, F.col("vector_id") % 20 == 0).count() == 0
+    with pytest.raises(ValueError):
+        blocks.sparse_search(df, 0.0, F.lit(True))
