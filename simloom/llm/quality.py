@@ -17,6 +17,8 @@ DIMS, PLACES = 32, 4
 FORMS = 16
 #: Word hashes that a task gathers before it adds them up.
 GATHERED = 1 << 20
+#: Neighbouring tokens that are added to a matrix together, and tasks for each core that add up a matrix at most.
+NEAR, MATRICES = 1 << 14, 8
 #: Labelled documents that the network is fitted on at most, about.
 TRAIN_DOCS = 6000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
@@ -110,34 +112,50 @@ def token_buckets(texts: list[str], vocabulary: np.ndarray):
 
 def context_counts(texts: list[str], vocabulary: np.ndarray, places, signs) -> np.ndarray:
     """Words x dims: for each the sum of the index vectors of its neighbours on both sides."""
-    at, signed = [np.zeros(0, np.int64)], [np.zeros(0)]
+    total = np.zeros((rows_of(vocabulary), DIMS))
+    add_context(total, texts, vocabulary, places, signs)
+    return total
+
+
+def add_context(total: np.ndarray, texts: list[str], vocabulary: np.ndarray, places, signs) -> None:
+    """Add the context counts of texts in place, some tokens at a time: no second matrix, no list of all of a slice's places."""
+    flat = total.reshape(-1)
     for bucket, owner in token_buckets(texts, vocabulary):
         near = np.flatnonzero(owner[1:] == owner[:-1])
-        for a, b in ((bucket[near], bucket[near + 1]), (bucket[near + 1], bucket[near])):
-            at.append((a[:, None] * DIMS + places[b]).ravel())
-            signed.append(signs[b].ravel())
-    return np.bincount(np.concatenate(at), np.concatenate(signed), rows_of(vocabulary) * DIMS).reshape(-1, DIMS)
+        for lo in range(0, len(near), NEAR):
+            left, right = bucket[near[lo : lo + NEAR]], bucket[near[lo : lo + NEAR] + 1]
+            for a, b in ((left, right), (right, left)):
+                np.add.at(flat, (a[:, None] * DIMS + places[b]).ravel(), signs[b].ravel())
 
 
-def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Random-indexing vectors of all words from all documents: index vector plus centred context of unit length.
+def context_rows(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, v): of each task and word the sum of its contexts.
 
-    Each task adds up its own matrix of fixed size; the sums of all tasks meet by word, and a row a word comes to the driver.
+    Each task adds up its own matrix of fixed size, and small partitions are read together, so that the number of matrices has a
+    bound.
     """
 
     def run(batches):
         places, signs = index_vectors(rows_of(vocabulary))
         total = np.zeros((rows_of(vocabulary), DIMS))
-        for _, texts in common.text_slices(batches, 2 * common.SLICE_BYTES):
-            total += context_counts(texts, vocabulary, places, signs)
+        for _, texts in common.text_slices(batches):
+            add_context(total, texts, vocabulary, places, signs)
         used = np.flatnonzero(total.any(1))
         for lo in range(0, len(used), 4096):
             mine = used[lo : lo + 4096]
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * DIMS, pa.int32()), pa.array(total[mine].astype(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int32()), rows], ["bucket", "v"])
 
-    parts = common.id_text(docs, id_col, text_col).mapInArrow(run, "bucket int, v array<long>")
-    sums = parts.groupBy("bucket").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMS)])
+    texts = common.id_text(docs, id_col, text_col)
+    return texts.coalesce(MATRICES * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "bucket int, v array<long>")
+
+
+def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Random-indexing vectors of all words from all documents: index vector plus centred context of unit length.
+
+    The sums of all tasks meet by word, and a row a word comes to the driver.
+    """
+    sums = context_rows(docs, vocabulary, id_col, text_col).groupBy("bucket").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMS)])
     context = np.zeros((rows_of(vocabulary), DIMS))
     found = sums.toPandas()
     context[found["bucket"].to_numpy(np.int64)] = found.drop(columns="bucket").to_numpy(np.float64)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -386,3 +387,29 @@ def test_inner_folds_choose_the_shrinkage():
     lexicon = toxicity.Sample(rows).learn()
     assert lexicon.joined({"t": lexicon.weights["t"]}) > 0.5 > lexicon.joined({})
     assert toxicity.Sample([]).learn().weights == {} and toxicity.Sample([(1, 0, ("a",), 3)]).learn().joined({}) < 0.5
+
+
+def test_context_counts_need_no_more_than_their_tokens_and_a_matrix():
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=4)) for _ in range(4000)) for _ in range(40)]
+    none = np.zeros(0, np.uint64)
+    places, signs = quality.index_vectors(quality.rows_of(none))
+
+    def peak(f):
+        f(texts[:1])
+        tracemalloc.start()
+        f(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    tokens = peak(lambda some: [len(owner) for _, owner in quality.token_buckets(some, none)])
+    matrix = quality.rows_of(none) * quality.DIMS * 8
+    assert peak(lambda some: quality.context_counts(some, none, places, signs)) < tokens + matrix + 1e6
+
+
+def test_matrices_of_context_have_a_bound(spark):
+    docs = spark.createDataFrame([(k, "one two three") for k in range(60)], "doc_id long, text string").repartition(60)
+    most = quality.MATRICES * spark.sparkContext.defaultParallelism
+    parts = quality.context_rows(docs, np.zeros(0, np.uint64))
+    assert parts.rdd.getNumPartitions() == most < 60
