@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ FORMS = 16
 GATHERED = 1 << 20
 #: Neighbouring tokens that are added to a matrix together, and tasks for each core that add up a matrix at most.
 NEAR, MATRICES = 1 << 14, 8
+#: Words that the driver turns into vectors together.
+AT_ONCE = 4096
 #: Labelled documents that the network is fitted on at most, about.
 TRAIN_DOCS = 6000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-4
@@ -83,8 +87,9 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id",
         if total > size:
             break
         least = r.n
-    chosen = [] if least is None else [r.word for r in counts.filter(F.col("n") >= least).select("word").collect()]
-    return np.sort(np.array(chosen, np.int64).view(np.uint64))
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.filter(F.col("n") >= least).select("word").toArrow().column("word").to_numpy().view(np.uint64))
 
 
 def token_buckets(texts: list[str], vocabulary: np.ndarray):
@@ -153,24 +158,38 @@ def context_rows(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id"
 def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Random-indexing vectors of all words from all documents: index vector plus centred context of unit length.
 
-    The sums of all tasks meet by word, and a row a word comes to the driver.
+    The sums of all tasks meet by word, and come to the driver compressed, a batch a row.
     """
     sums = context_rows(docs, vocabulary, id_col, text_col).groupBy("bucket").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMS)])
+
+    def pack(batches):
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns], 1).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(rows.tobytes(), 1)], pa.binary())], ["packed"])
+
     context = np.zeros((rows_of(vocabulary), DIMS))
-    found = sums.toPandas()
-    context[found["bucket"].to_numpy(np.int64)] = found.drop(columns="bucket").to_numpy(np.float64)
+    for r in sums.mapInArrow(pack, "packed binary").collect():
+        rows = np.frombuffer(zlib.decompress(r.packed), "<i8").reshape(-1, 1 + DIMS)
+        context[rows[:, 0]] = rows[:, 1:]
     return vectors_from(context)
 
 
 def vectors_from(context: np.ndarray) -> np.ndarray:
+    """The word vectors of these contexts, some rows at a time: beside context and the result, no matrix is made."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    seen = context.any(1, keepdims=True)
-    directions = unit(context)
-    centred = np.where(seen, directions - directions.sum(0) / max(1, seen.sum()), 0.0)
+    parts = [slice(lo, lo + AT_ONCE) for lo in range(0, len(context), AT_ONCE)]
+    total, seen = np.zeros((1, context.shape[1])), 0
+    for part in parts:
+        total = np.concatenate([total, unit(context[part])]).sum(0, keepdims=True)  # row after row, as one sum over all
+        seen += int(context[part].any(1).sum())
     places, signs = index_vectors(len(context))
-    own = np.zeros(context.shape)
-    np.add.at(own, (np.arange(len(own))[:, None], places), signs)
-    return (unit(own) + unit(centred)).astype(np.float32)
+    out = np.empty(context.shape, np.float32)
+    for part in parts:
+        mine = context[part]
+        own = np.zeros(mine.shape)
+        np.add.at(own, (np.arange(len(own))[:, None], places[part]), signs[part])
+        out[part] = unit(own) + unit(np.where(mine.any(1, keepdims=True), unit(mine) - total / max(1, seen), 0.0))
+    return out
 
 
 def pool(texts: list[str], vectors: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -269,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = TRAIN_DOCS, id_c
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows], ["doc_id", "label", "x"])
 
     rows = sorted(sample.mapInArrow(run, "doc_id long, label int, x array<double>").collect())
+    sent.destroy()
     return Model(vectors, chosen, Network(np.array([r.x for r in rows]), np.array([r.label for r in rows])) if rows else None)
 
 

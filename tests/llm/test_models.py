@@ -413,3 +413,26 @@ def test_matrices_of_context_have_a_bound(spark):
     most = quality.MATRICES * spark.sparkContext.defaultParallelism
     parts = quality.context_rows(docs, np.zeros(0, np.uint64))
     assert parts.rdd.getNumPartitions() == most < 60
+
+
+def test_the_driver_holds_word_contexts_once(spark):
+    """Of 40,000 words, at most their contexts, half as much in vectors and a part of the work on them are in the driver's Python."""
+    texts = [" ".join(f"w{j}x" for j in range(k, k + 2001)) for k in range(0, 40000, 2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = np.unique(words.word_hashes([" ".join(texts)])[0])
+    matrix = quality.rows_of(known) * quality.DIMS * 8
+    context = quality.context_counts(texts, known, *quality.index_vectors(quality.rows_of(known)))
+    tracemalloc.start()
+    vectors = quality.word_vectors(docs, known)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * matrix
+
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    seen, own = context.any(1, keepdims=True), np.zeros(context.shape)
+    places, signs = quality.index_vectors(len(own))
+    for k, (p, s) in enumerate(zip(places, signs, strict=True)):
+        for a, b in zip(p, s, strict=True):
+            own[k, a] += b
+    centred = np.where(seen, unit(context) - unit(context).sum(0) / seen.sum(), 0.0)
+    assert (vectors == (unit(own) + unit(centred)).astype(np.float32)).all()
